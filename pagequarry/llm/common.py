@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,50 @@ def running_start(df: DataFrame, group: str, place: str, ties: list[str], value:
     return df.join(totals, [group, "_b"]).withColumn(out, F.col("_o") + F.col("_s")).drop("_b", "_v", "_o", "_s")
 
 
+# ---------------------------------------------------------- groups without pandas
+
+
+def grouped(df: DataFrame, key: str, run: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``run`` to whole groups of equal ``key`` (long, not null), many at a time.
+
+    It gets the rows of several groups in one batch with the first row of each
+    (and the end), which spares the cost that a call per group has where most
+    groups are pairs. Only a group that spans batches is held back.
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def ready(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            keys = rows.column(key).to_numpy(zero_copy_only=False)
+            first = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+            cut = len(rows) if last else int(first[-1])
+            held[:] = [] if last else [rows.slice(cut)]
+            if cut:
+                yield run(rows.slice(0, cut), np.append(first, cut) if last else first)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            spans = held and held[0].column(key)[0].as_py() == batch.column(key)[len(batch) - 1].as_py()
+            held.append(batch)
+            if not spans:
+                yield from ready(False)
+        if held:
+            yield from ready(True)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, key).sortWithinPartitions(key).mapInArrow(stream, schema)
+
+
+def fixed_width(column: pa.Array, dtype: type, width: int) -> np.ndarray:
+    """A binary column without nulls, all values of one width, as a matrix."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), dtype=dtype).reshape(-1, width)
+
+
 # ------------------------------------------------------------- keyed permutation
 
 

@@ -22,12 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, read, shared_dir, stored, text_chunks
+from .common import fixed_width, grouped, hash_words, mix64, read, stored, text_chunks
 
 POSITIONS = 24
 TREES = 10
@@ -61,13 +60,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield runs[:0]
 
 
-def _tokens(s: np.ndarray) -> np.ndarray:
-    """The minwise token of each position: the smallest keyed hash of the set."""
-    out = np.empty(POSITIONS, dtype=np.uint64)
+def _tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """The minwise tokens of each set, none of them empty: at every position the
+    smallest keyed hash of its members."""
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    every, out = np.concatenate(sets), np.empty((len(sets), POSITIONS), dtype=np.uint64)
     for i, seed in enumerate(_SEEDS):
-        x = (s ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (every ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(32)
-        out[i] = (x * np.uint64(0x9E3779B97F4A7C15)).min()
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out[:, i] = np.minimum.reduceat(x, first)
     return out
 
 
@@ -77,13 +79,18 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data, offsets in text_chunks(batch.column("text")):
-                n, lo, hi, sig = [], [], [], []
-                for s in shingle_sets(data, offsets, k):
-                    n.append(len(s))
-                    lo.append(int(mix64(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    hi.append(int(mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                    sig.append(_tokens(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "n", "lo", "hi", "sig"])
+                sets = list(shingle_sets(data, offsets, k))
+                n = np.array([len(s) for s in sets])
+                some = np.flatnonzero(n)
+                lo, hi, sig = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), [None] * len(n)
+                if len(some):
+                    full = [sets[j] for j in some]
+                    every, first = np.concatenate(full), np.concatenate(([0], np.cumsum(n[some])[:-1]))
+                    lo[some] = np.add.reduceat(mix64(every), first)
+                    hi[some] = np.add.reduceat(mix64(every ^ np.uint64(0x5851F42D4C957F2D)), first)
+                    for j, t in zip(some.tolist(), _tokens(full)):
+                        sig[j] = t.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n", "lo", "hi", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lo long, hi long, sig binary")
 
@@ -149,29 +156,34 @@ def _leaves(classes: DataFrame, trees: int, leaf_docs: int, leaf_shingles: int)
     return out
 
 
-def _agreeing(pdf: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Splits a leaf into groups whose members' token vectors agree in ``least``
+def _agreeing(rows: pa.RecordBatch, first: np.ndarray, least: int) -> pa.RecordBatch:
+    """Splits each leaf into groups whose members' token vectors agree in ``least``
     places with some other member's, and drops members without a partner. A
     group is named by its members, so equal groups of several trees meet."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint64).reshape(-1, POSITIONS)
-    rep = pdf["rep"].to_numpy()
-    by = np.argsort(rep)
-    rep, sig = rep[by], sig[by]
-    group, todo, made = np.full(len(rep), -1), np.arange(len(rep)), 0
-    while len(todo):
-        front, todo = [todo[0]], todo[1:]
-        group[front[0]] = made
-        while front and len(todo):
-            near = (sig[todo] == sig[front.pop()]).sum(axis=1) >= least
-            front += todo[near].tolist()
-            group[todo[near]] = made
-            todo = todo[~near]
-        made += 1
-    sizes = np.bincount(group)
+    sig, rep = fixed_width(rows.column("sig"), np.uint64, POSITIONS), rows.column("rep").to_numpy(zero_copy_only=False)
+    sizes = np.diff(first)
+    group = np.full(len(rep), -1)
+    pairs = first[:-1][sizes == 2]
+    near = pairs[(sig[pairs] == sig[pairs + 1]).sum(axis=1) >= least]
+    group[near] = group[near + 1] = np.arange(len(near))
+    made = len(near)
+    for lo, hi in zip(first[:-1][sizes > 2].tolist(), first[1:][sizes > 2].tolist()):
+        todo = np.arange(lo, hi)
+        while len(todo):
+            front, todo = [todo[0]], todo[1:]
+            group[front[0]] = made
+            while front and len(todo):
+                close = (sig[todo] == sig[front.pop()]).sum(axis=1) >= least
+                front += todo[close].tolist()
+                group[todo[close]] = made
+                todo = todo[~close]
+            made += 1
+    rep, group = rep[group >= 0], group[group >= 0]
+    keep = np.bincount(group, minlength=made)[group] > 1
+    rep, group = rep[keep], group[keep]
     name = np.zeros(made, dtype=np.uint64)
     np.add.at(name, group, mix64(rep.view(np.uint64) + np.uint64(11)))
-    keep = sizes[group] > 1
-    return pd.DataFrame({"leaf": name[group][keep].view(np.int64), "rep": rep[keep]})
+    return pa.RecordBatch.from_arrays([pa.array(name[group].view(np.int64)), pa.array(rep)], names=["leaf", "rep"])
 
 
 def stars(sets: list[np.ndarray], sig: np.ndarray, rep: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
 
     leaves = _leaves(names, trees, leaf_docs, leaf_shingles)
     known = leaves.join(names.select("rep", "sig"), "rep")
-    groups = known.groupBy("node").applyInPandas(lambda pdf: _agreeing(pdf[["rep", "sig"]], least), "leaf long, rep long")
+    groups = grouped(known.select("node", "rep", "sig"), "node", lambda rows, first: _agreeing(rows, first, least), "leaf long, rep long")
     groups = stored(groups.distinct(), "groups")
 
     needed = groups.select("rep").distinct().join(names, "rep")
@@ -261,17 +273,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             for i, data, offsets in text_chunks(batch.column("text")):
                 made = list(shingle_sets(data, offsets, words))
                 good = [j for j, s in enumerate(made) if len(s) and int(mix64(s).sum(dtype=np.uint64).view(np.int64)) == wanted[i + j]]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i + j for j in good], pa.int64())), pa.array([_tokens(made[j]).tobytes() for j in good], pa.binary()), pa.array([made[j].tobytes() for j in good], pa.binary())], names=["rep", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i + j for j in good], pa.int64())), pa.array([t.tobytes() for t in _tokens([made[j] for j in good])] if good else [], pa.binary()), pa.array([made[j].tobytes() for j in good], pa.binary())], names=["rep", "sig", "shingles"])
 
     sets = texts.select("rep", "lo", "text").mapInArrow(sets_of, "rep long, sig binary, shingles binary")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint64).reshape(-1, POSITIONS)
-        a, b = stars([np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]], sig, pdf["rep"].to_numpy(), percent, least)
-        return pd.DataFrame({"a": a, "b": b})
-
-    edges = groups.join(sets, "rep").groupBy("leaf").applyInPandas(lambda pdf: link(pdf[["rep", "sig", "shingles"]]), "a long, b long")
+    def link(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
+        sig, rep = fixed_width(rows.column("sig"), np.uint64, POSITIONS), rows.column("rep").to_numpy(zero_copy_only=False)
+        shingles, left, right = rows.column("shingles"), [], []
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
+            by = lo + np.unique(rep[lo:hi], return_index=True)[1]
+            a, b = stars([np.frombuffer(shingles[i].as_py(), dtype=np.uint64) for i in by.tolist()], sig[by], rep[by], percent, least)
+            left.append(a)
+            right.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    edges = grouped(groups.join(sets, "rep").select("leaf", "rep", "sig", "shingles"), "leaf", link, "a long, b long")
     roots = components(edges)
     # a class is named by its smallest doc_id, and so is a component
     small = classes.select("lo", "hi", "n", F.col("rep").alias("least"))
