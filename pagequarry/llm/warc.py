@@ -87,7 +87,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, keeper: int |
     return _member([*headers, ("Content-Type", "application/http; msgtype=response")], block)
 
 
-def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int = 0, range_bytes: int = 256 << 20, roll_bytes: int = 64 << 20, date: str = "2025-01-01T00:00:00Z") -> str:
+def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int = 0, range_bytes: int = 32 << 20, roll_bytes: int = 32 << 20, date: str = "2025-01-01T00:00:00Z") -> str:
     """Write a record per row of ``pages`` (page_id, url, html; other columns are
     ignored) and return the folder.
 
@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int
     part = F.pandas_udf(lambda p: pd.Series(np.where(p.isna(), 0, np.searchsorted(bounds, p.fillna(0).to_numpy(np.int64), side="right"))), "long")("page_id")
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"), part.alias("range"))
     tasks = max(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(tasks, "range").sortWithinPartitions("range", "page_id", "url", "payload")
+    rows = rows.repartitionByRange(tasks, "range").sortWithinPartitions("range", "page_id", "url", "payload")
     start(uri)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
