@@ -6,6 +6,8 @@ UTF-8 form of the whole text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -172,7 +174,8 @@ _LOWER[65:91] = _BYTES[97:123]
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier modulo 2**64, and of its inverse."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = 1 << max(20, (n - 1).bit_length())
         inverse = pow(_MULT, -1, 1 << 64)
@@ -180,18 +183,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 20):
+def trim() -> None:
+    """Give freed memory back to the system; numpy's and Arrow's pools hold it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_chunks(column: pa.Array, max_bytes: int = 1 << 20):
     """Cut a string column into runs of whole texts of about ``max_bytes``.
 
     Yields (first row, bytes, offsets of the texts in them). Null texts are
     empty; a text above the size stands alone and stays whole.
     """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if column.null_count:
+        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2], dtype=np.uint8) if column.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < len(column):
@@ -217,7 +227,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tu
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    power, inverse = _powers(n + 1)
+    power, inverse = powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((_LOWER if lower else _BYTES)[data] * power[:n], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]

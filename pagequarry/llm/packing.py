@@ -33,10 +33,9 @@ def to_ids(docs: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = bpe(vocabulary, folder), np.array([end_id], dtype="<u2").tobytes()
         for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.slice(i, 512)
-                ids = [coder.encode(t or "").tobytes() + end for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
+            for i, made in coder.encode_column(b.column("text")):
+                ids = [x.tobytes() + end for x in made]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(ids)), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
 

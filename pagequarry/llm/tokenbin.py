@@ -49,8 +49,9 @@ def write_slots(docs: DataFrame, uri: str | None = None, seq_len: int = 512, key
 
     def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
         coder = bpe(vocabulary, folder)
-        for d, t in zip(batch.column("doc_id"), batch.column("text")):
-            yield d.as_py(), np.append(coder.encode(t.as_py() or ""), np.uint16(end_id))
+        for i, made in coder.encode_column(batch.column("text")):
+            for d, ids in zip(batch.column("doc_id").slice(i, len(made)).to_pylist(), made):
+                yield d, np.append(ids, np.uint16(end_id))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = sum(-(-len(ids) // seq_len) for b in batches for _, ids in encoded(b))
@@ -74,7 +75,7 @@ def write_slots(docs: DataFrame, uri: str | None = None, seq_len: int = 512, key
                     piece = ids[lo : lo + seq_len]
                     head = np.array([(NO_ID if d is None else d, part, len(piece))], dtype=HEAD)
                     rows.append(head.tobytes() + piece.tobytes())
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield placed(rows, index)
                     index, rows = index + len(rows), []
         if rows:
@@ -88,7 +89,7 @@ def write_slots(docs: DataFrame, uri: str | None = None, seq_len: int = 512, key
 
     files = -(-total // per_file)
     rows = docs.mapInArrow(cut, "slot long, shard int, record binary")
-    rows = rows.repartition(max(1, files, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard").sortWithinPartitions("slot")
+    rows = rows.repartitionById(max(1, files), "shard").sortWithinPartitions("slot")
     start(uri)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,8 +109,7 @@ def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int
     bounds = np.array(even_ranges(keyed.where("page_id is not null").select("page_id", (F.col("size") + 600).alias("w")), "page_id", "w", range_bytes), dtype=np.int64)
     part = F.pandas_udf(lambda p: pd.Series(np.where(p.isna(), 0, np.searchsorted(bounds, p.fillna(0).to_numpy(np.int64), side="right"))), "long")("page_id")
     rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"), part.alias("range"))
-    tasks = max(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(tasks, "range").sortWithinPartitions("range", "page_id", "url", "payload")
+    rows = rows.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "page_id", "url", "payload")
     start(uri)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
