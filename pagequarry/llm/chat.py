@@ -13,7 +13,7 @@ first character, after backslashes are doubled, and so come back unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read
@@ -60,13 +60,14 @@ def examples(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"))
     body = escape(text)
-    one = F.struct("turn", role.alias("role"), text.alias("raw"), F.char_length(head).alias("head"), F.char_length(body).alias("body"), F.concat(head, body, F.lit(CLOSE)).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
-    # where each turn starts, by one pass over the turns
-    width = lambda x: x["head"] + x["body"] + F.lit(len(CLOSE))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<role:string,start:int,length:int,stop:int>>").alias("spans"))
-    step = lambda a, x: F.struct((a["at"] + width(x)).alias("at"), F.array_append(a["spans"], F.struct(x["role"].alias("role"), (a["at"] + x["head"]).alias("start"), x["body"].alias("length"), (a["at"] + width(x)).alias("stop"))).alias("spans"))
-    whole = whole.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("all"), F.aggregate("t", empty, step)["spans"].alias("spans"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("raw"), F.char_length(head).alias("head"), F.char_length(body).alias("length"), F.concat(head, body, F.lit(CLOSE)).alias("text"))
+    # where each turn starts, by a running sum over the order that the turns are joined in
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "raw")
+    stop = F.sum(F.char_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    rows = rows.withColumn("stop", stop).withColumn("start", F.col("stop") - F.char_length("text") + F.col("head"))
+    whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("stop", "role", "start", "length", "text"))).alias("t"))
+    spans = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["start"].alias("start"), x["length"].alias("length"), x["stop"].alias("stop")))
+    whole = whole.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("all"), spans.alias("spans"))
     last = F.element_at("spans", -1)
     goals = F.filter("spans", lambda s: s["role"] == trained)
     rest = F.array(F.struct(last["role"].alias("role"), last["stop"].alias("start"), F.lit(None).cast("int").alias("length"), last["stop"].alias("stop")))

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 52
@@ -59,6 +60,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, more: str) -> T.StructType:
+    """The schema of a frame with further fields, given as DDL."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 # ------------------------------------------------------------ numbering of rows
 
 

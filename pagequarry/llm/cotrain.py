@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, read, text_chunks
+from .common import hash_words, mix64, read, text_chunks, trim, with_fields
 
 BITS = 20
 SLOTS = 1 << BITS
@@ -100,11 +100,9 @@ class View:
         return self
 
     def _choose(self, words: list[np.ndarray], y: np.ndarray, most: int = 4096) -> np.ndarray:
-        at = np.concatenate(words) if words else np.zeros(0, np.int64)
-        hit = np.repeat(y, [len(x) for x in words])
         n1, n0 = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-        c1 = np.bincount(at, weights=hit, minlength=SLOTS)
-        c0 = np.bincount(at, minlength=SLOTS) - c1
+        count = lambda rows: np.bincount(np.concatenate([words[i] for i in rows]), minlength=SLOTS) if len(rows) else np.zeros(SLOTS)
+        c1, c0 = count(np.flatnonzero(y >= 0.5)), count(np.flatnonzero(y < 0.5))
         rate = (c1 + c0 + 1) / (n1 + n0 + 2)
         z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(rate * (1 - rate) * (1 / n1 + 1 / n0))
         z[c1 + c0 < 8] = 0
@@ -112,13 +110,14 @@ class View:
         return np.sort(best[z[best] > 4.5])
 
     def _sparse(self, words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.chosen):
+        if not len(self.chosen) or not len(words):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        table = np.zeros(SLOTS, dtype=bool)
+        table[self.chosen] = True
         at = np.concatenate(words)
-        row = np.repeat(np.arange(len(words)), [len(x) for x in words])
-        col = np.minimum(np.searchsorted(self.chosen, at), len(self.chosen) - 1)
-        hit = self.chosen[col] == at
-        return row[hit], col[hit]
+        hit = np.flatnonzero(table[at])
+        row = np.searchsorted(np.cumsum([len(x) for x in words]), hit, side="right")
+        return row, np.searchsorted(self.chosen, at[hit])
 
     def score(self, dense: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         row, col = self._sparse(words)
@@ -201,11 +200,13 @@ def _features(batch: pa.RecordBatch, only: np.ndarray | None = None) -> Iterator
 
 def train(docs: DataFrame, labels: DataFrame, label_rows: int = 16_000, pool_rows: int = 8_000, rounds: int = 2, sure: float = 0.98, seed: int = 3) -> dict[str, Pair] | None:
     """Co-train on at most ``label_rows`` labelled and ``pool_rows`` other documents,
-    the first by a hash of doc_id. None if no label can be used.
+    the first by a hash of doc_id; both bounds are of the fit alone, every row is
+    scored. None if no label can be used.
 
     ``labels`` needs doc_id, quality and toxic. A document with several labels is
     bad if any says so; null labels teach nothing.
     """
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     place = F.xxhash64("doc_id", F.lit(seed))
     ids = docs.select("doc_id").where("doc_id is not null").distinct()
@@ -225,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = 16_000, pool_row
     rows = rows.drop_duplicates(["doc_id", "words"]).sort_values(["doc_id", "words"], kind="stable")
     text = np.array([np.frombuffer(x) for x in rows["text"]])
     meta = np.array([np.frombuffer(x) for x in rows["meta"]])
-    words = [np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in rows["words"]]
+    words = [np.frombuffer(x, dtype=np.int32) for x in rows["words"]]
     out = {}
     for name, y in (("low", 1 - rows["quality"].to_numpy(float)), ("toxic", rows["toxic"].to_numpy(float))):
         if len(set(y[~np.isnan(y)])) == 2:
@@ -248,7 +249,6 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     names = [x.split()[0] for x in SCORES.split(", ")]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (*names, "score", "kept")]
     docs = docs.select(*dict.fromkeys([*keep, "text", "lang", "source", "n_chars"]))
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema], SCORES])
     only = np.unique(np.concatenate([np.zeros(0, np.int64), *[p.views[0].chosen for p in made.values()]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,8 +257,9 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
                 part = batch.slice(i, len(n))
                 chances = [made[k].chance(text, meta, words) if k in made else np.zeros(len(n)) for k in ("low", "toxic")]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(n.astype(np.int64)), *map(pa.array, chances)], names=[*keep, *names])
+            trim()
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, with_fields(docs.select(*keep), SCORES))
     return out.withColumn("score", (1 - F.col("p_low")) * (1 - F.col("p_toxic"))).withColumn("kept", (F.col("p_low") < limit) & (F.col("p_toxic") < limit))
 
 

@@ -120,15 +120,16 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     text and source, and by a number within those, so null ids and repeated
     rows each keep their own share. Columns of any other name pass through.
     """
-    key = ["_id", "_tie", "_source"]
+    key = ["id", "tie", "source"]
     number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    keyed = lambda df, tie: df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_tie": tie, "_source": F.struct("source")}).withColumn("_n", number)
-    plan = keyed(mix_plan(docs, **options), F.col("tie")).select(*key, "_n", F.col("size").alias("_size"), F.explode("pieces").alias("_p"))
-    plan = plan.where(F.col("_p.words") * 2 >= F.col("_size")).select(*key, "_n", F.col("_p.shard").alias("_shard"), F.col("_p.place").alias("_place"))
-    out = keyed(docs, F.xxhash64("text")).join(plan, [*key, "_n"])
+    known = lambda df: df.withColumns({"id": F.coalesce(F.col("id").cast("string"), F.lit("null")), "source": F.struct("source")}).withColumn("n", number)
+    plan = known(mix_plan(docs, **options).withColumnRenamed("doc_id", "id"))
+    plan = plan.select(*key, "n", "size", F.explode("pieces").alias("p")).where(F.col("p.words") * 2 >= F.col("size"))
+    rows = known(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "source"))
+    out = rows.join(plan.select(*key, "n", F.col("p.shard").alias("shard"), F.col("p.place").alias("place")), [*key, "n"])
     # a shard is written by several tasks, each with a range of its places
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartitionByRange(parts, "_shard", "_place").sortWithinPartitions("_shard", "_place").select(*docs.columns)
+    return out.select("row", "shard", "place").repartitionByRange(parts, "shard", "place").sortWithinPartitions("shard", "place").select("row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, read, text_chunks
+from .common import hash_words, read, text_chunks, trim, with_fields
 
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -123,9 +123,9 @@ def repetition(docs: DataFrame, least: int = 8, keep: list[str] | None = None) -
                 rows = batch.slice(i, len(offsets) - 1)
                 made = stats_of(data, offsets, least)
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in keep], *[pa.array(x, pa.int64()) for x in made]], names=[*keep, *names])
+            trim()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.mapInArrow(run, ", ".join(filter(None, [schema, STATS])))
+    return docs.mapInArrow(run, with_fields(docs.select(*keep), STATS))
 
 
 def judged(stats: DataFrame, max_percent: int = 30, max_repeat: int = 100) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import feistel, read, shared_dir, stored
 from .files import commit, manifest, opened, start, temporary
@@ -155,7 +156,7 @@ def read_slots(spark: SparkSession, uri: str, first: int = 0, count: int | None
     return wanted.mapInArrow(load, READ_SCHEMA)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ids_crc32(ids: pd.Series) -> pd.Series:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit numbers."""
     return ids.map(lambda b: zlib.crc32(np.frombuffer(b, dtype="<u2").astype("<u4").tobytes()))
