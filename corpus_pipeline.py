@@ -7,6 +7,7 @@ kept. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagequarry.llm.common import read, stored
 from pagequarry.llm.cotrain import classify
@@ -16,14 +17,19 @@ from pagequarry.llm.packing import pack
 from pagequarry.llm.repetition import judged, repetition
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row also as one column, so that no column of a result meets one of its names."""
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", F.struct(*docs.columns).alias("row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the suffix-array repetition rule keep."""
-    return judged(repetition(docs)).where("kept").select(*docs.columns)
+    return judged(repetition(_whole(docs), keep=["row"])).where("kept").select("row.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers take for neither low nor toxic."""
-    return classify(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return classify(_whole(docs), read(spark, sf_dir, "labels"), keep=["row"]).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
