@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import numeric as num
 from ..functions import text as tx
 from ..functions.geometry import Affine, Box, crop, move, outside, union_box, within
-from ..operators import cluster, graph, layout, spatial, tables
+from ..operators import cluster, graph, layout, spatial, tables, trees
+from ..operators import words as wd
 from ..sources.folders import shared_folder, table
 from ..sources.objects import elements, lines, words
 from ..streaming.windows import event_windows, sessions
@@ -516,6 +517,63 @@ def finite_median(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(num.finite_median(F.col("value")), 6).alias("m"))
 
 
+# ------------------------------------------------------- characters, trees, votes
+
+
+def page_chars(spark: SparkSession, d: str) -> DataFrame:
+    w = page_boxes(spark, d)
+    c = w.select(*PAGE, F.col("seqno").alias("w"), "x0", "top", "bottom", F.posexplode(F.split("text", "")).alias("i", "text")).where("text <> ''")
+    x = F.col("x0") + F.col("i") * 6.0
+    return c.select(*PAGE, (F.col("w") * 100_000 + F.col("i")).alias("seqno"), "text", x.alias("x0"), (x + 6.0).alias("x1"), "top", "bottom")
+
+
+@query(f"WITH {W} SELECT doc_id, page_index, count(*) AS n_words, sum(x1) AS sum_x1, sum(length(text)) AS n_chars FROM w GROUP BY 1, 2")
+def chars_words(spark, d):
+    made = wd.chars_to_words(page_chars(spark, d), PAGE)
+    return made.groupBy(*PAGE).agg(F.count("*").alias("n_words"), F.sum("x1").alias("sum_x1"), F.sum(F.char_length("text")).alias("n_chars"))
+
+
+@query(f"WITH {W}, r AS (SELECT doc_id, page_index, ln, string_agg(text, ' ' ORDER BY wi) AS t FROM w GROUP BY ALL) SELECT doc_id, page_index, sha256(string_agg(t, chr(10) ORDER BY ln)) AS text_sha FROM r GROUP BY 1, 2")
+def chars_text(spark, d):
+    return wd.simple_text(page_chars(spark, d), PAGE).select(*PAGE, F.sha2("text", 256).alias("text_sha"))
+
+
+@query(f"WITH {W}, m AS (SELECT *, max(x1) OVER (PARTITION BY doc_id, page_index ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM w) SELECT doc_id, page_index, greatest(0, coalesce(max(x0 - p), 0)) AS gap FROM m GROUP BY 1, 2")
+def projection_gap(spark, d):
+    return wd.largest_gap(page_boxes(spark, d), PAGE)
+
+
+@query(f"WITH {LINES}, p AS (SELECT doc_id, ln // 10 AS page_index, 12.0 * (ln % 10) AS top, line FROM l) SELECT doc_id, page_index, coalesce(string_agg(line, chr(10) ORDER BY top) FILTER (length(line) <= 240 AND top + 10 <= 14.4), '') AS header, coalesce(string_agg(line, chr(10) ORDER BY top) FILTER (length(line) <= 240 AND NOT top + 10 <= 14.4 AND top >= 105.6), '') AS footer FROM p GROUP BY 1, 2")
+def header_footer(spark, d):
+    top = (F.col("ln") % 10) * 12.0
+    rows = lines(docs(spark, d)).select(*PAGE, top.alias("top"), (top + 10).alias("bottom"), F.col("line").alias("text"))
+    return wd.margins(rows, PAGE, 120.0)
+
+
+@query("SELECT 'c' || c_custkey AS id, r_name || '.' || n_name || '.' || c_name AS name, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || n_nationkey, r_name || '.' || n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, 0 FROM region")
+def qualified_names(spark, d):
+    ref = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    t = table(spark, d, "region").select(ref("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    t = t.union(table(spark, d, "nation").select(ref("n", "n_nationkey"), ref("r", "n_regionkey"), "n_name"))
+    t = t.union(table(spark, d, "customer").select(ref("c", "c_custkey"), ref("n", "c_nationkey"), "c_name"))
+    return trees.walk(t, "name").select("id", trees.qualified(F.col("path")).alias("name"), "depth")
+
+
+@query("WITH v AS (SELECT l_suppkey, l_linestatus, count(*) AS votes FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(votes) OVER (PARTITION BY l_suppkey) AS s, rank() OVER (PARTITION BY l_suppkey ORDER BY votes DESC) AS k FROM v), t AS (SELECT *, count(*) FILTER (k = 1) OVER (PARTITION BY l_suppkey) AS ties FROM r) SELECT l_suppkey, l_linestatus, votes FROM t WHERE k = 1 AND ties = 1 AND votes >= 2 AND votes >= 0.5 * s")
+def font_votes(spark, d):
+    return trees.majority(table(spark, d, "lineitem").select("l_suppkey", "l_linestatus"), ["l_suppkey"], "l_linestatus", share=0.5)
+
+
+@query("WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), k AS (SELECT doc_id, ch, count(*) AS n FROM c WHERE trim(ch, ' ' || chr(10) || chr(9) || chr(13)) <> '' GROUP BY 1, 2), s AS (SELECT doc_id, sum(n) AS v, max(n) AS m, coalesce(sum(n) FILTER (regexp_matches(ch, '[A-Za-z0-9]')), 0) AS a FROM k GROUP BY 1) SELECT doc_id, round((a + least(v - a, a / 4.0)) * 0.8 * (1 - greatest(0, m * 1.0 / v - 0.3)) + 1e-9, 3)::DOUBLE AS utility FROM s")
+def text_utility(spark, d):
+    """Letters and digits, with symbols up to a quarter of them, weighed by confidence and repetition."""
+    c = docs(spark, d).select("doc_id", F.explode(F.split("text", "")).alias("ch")).where(F.col("ch").rlike(r"[^ \n\t\r]"))
+    k = c.groupBy("doc_id", "ch").agg(F.count("*").alias("n"))
+    s = k.groupBy("doc_id").agg(F.sum("n").alias("v"), F.max("n").alias("m"), F.sum(F.when(F.col("ch").rlike("[A-Za-z0-9]"), F.col("n")).otherwise(0)).alias("a"))
+    u = (F.col("a") + F.least(F.col("v") - F.col("a"), F.col("a") / 4.0)) * 0.8 * (1 - F.greatest(F.lit(0.0), F.col("m") / F.col("v") - 0.3))
+    return s.select("doc_id", F.round(u + 1e-9, 3).alias("utility"))
+
+
 # ------------------------------------------------------------- layout and streams
 
 

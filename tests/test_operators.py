@@ -172,3 +172,24 @@ def test_stream(spark, tmp_path, data):
     q.stop()
     want = event_windows(spark.read.parquet(f"{data}/events.parquet"))
     assert spark.table("hours").count() == want.count()
+
+
+def test_chars_to_words(spark):
+    from pagequarry.operators import words as wd
+
+    chars = [(0, i, c, i * 6.0, 0.0, i * 6.0 + 6, 10.0) for i, c in enumerate("ab-c d")] + [(0, 9, "z", 0.0, 20.0, 6.0, 30.0)]
+    df = spark.createDataFrame(chars, BOX)
+    text = lambda **o: [r.text for r in wd.chars_to_words(df, ["p"], **o).orderBy("word").collect()]
+    assert text() == ["ab-c", "d", "z"]
+    assert text(split_at="-") == ["ab", "-", "c", "d", "z"]
+    assert text(keep_blanks=True) == ["ab-c d", "z"]
+    assert wd.simple_text(df, ["p"]).first().text == "ab-c d\nz"
+
+
+def test_majority_and_walk(spark):
+    from pagequarry.operators import trees
+
+    votes = spark.createDataFrame([(1, "a")] * 9 + [(1, "b")] + [(2, "a"), (2, "b")] + [(3, "a")], "k int, v string")
+    assert [(r.k, r.v, r.votes) for r in trees.majority(votes, ["k"], "v").collect()] == [(1, "a", 9)]
+    nodes = spark.createDataFrame([("1", None, "x"), ("2", "1", "y"), ("3", "4", "q"), ("4", "3", "r")], "id string, parent string, name string")
+    assert sorted((r.id, ".".join(r.path)) for r in trees.walk(nodes, "name").collect()) == [("1", "x"), ("2", "x.y")]
