@@ -19,7 +19,7 @@ def chars_to_words(chars: DataFrame, keys: list[str], x_tolerance: float = 3.0,
     rows = islands(chars, keys, "top", y_tolerance, "_row")
     order = Window.partitionBy(*keys, "_row").orderBy("x0", "seqno")
     blank = F.trim("text") == ""
-    alone = F.lit(False) if not split_at else (F.col("text") != "") & F.instr(F.lit(split_at), "text").cast("boolean")
+    alone = F.lit(False) if not split_at else (F.col("text") != "") & (F.instr(F.lit(split_at), F.col("text")) > 0)
     rows = rows.withColumns({"_blank": blank & F.lit(not keep_blanks), "_alone": alone})
     last = lambda c: F.lag(c).over(order)
     new = (F.col("x0") < last("x0")) | (F.col("x0") > last("x1") + x_tolerance) | (F.abs(F.col("top") - last("top")) > y_tolerance) | last("_blank") | F.col("_alone") | last("_alone")
