@@ -159,3 +159,48 @@ def luminosity(r: Column, g: Column, b: Column) -> Column:
 def finite_median(x: Column) -> Column:
     """Aggregate: median of the finite values, the middle pair averaged."""
     return F.percentile(F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x), F.lit(0.5))
+
+
+def _clip_colour(c: list[Column]) -> list[Column]:
+    """Into 0..1 towards the luminosity, which stays."""
+    lum, low, high = luminosity(*c), F.least(*c), F.greatest(*c)
+    up = [F.when(low < 0, lum + (x - lum) * lum / F.greatest(lum - low, F.lit(1e-12))).otherwise(x) for x in c]
+    return [F.when(high > 1, lum + (u - lum) * (1.0 - lum) / F.greatest(high - lum, F.lit(1e-12))).otherwise(u) for u in up]
+
+
+def _with_luminosity(c: list[Column], lum: Column) -> list[Column]:
+    d = lum - luminosity(*c)
+    return _clip_colour([x + d for x in c])
+
+
+def _saturation(c: list[Column]) -> Column:
+    return F.greatest(*c) - F.least(*c)
+
+
+def _with_saturation(c: list[Column], sat: Column) -> list[Column]:
+    low, width = F.least(*c), _saturation(c)
+    return [F.when(width > 0, (x - low) * sat / F.greatest(width, F.lit(1e-12))).otherwise(0.0) for x in c]
+
+
+COLOUR_MODES = ("Hue", "Saturation", "Color", "Luminosity")
+
+
+def blend_colour(mode: str, b: list[Column], s: list[Column]) -> list[Column]:
+    """Non-separable blend of backdrop and source, each three Columns in 0..1."""
+    return {
+        "Hue": lambda: _with_luminosity(_with_saturation(s, _saturation(b)), luminosity(*b)),
+        "Saturation": lambda: _with_luminosity(_with_saturation(b, _saturation(s)), luminosity(*b)),
+        "Color": lambda: _with_luminosity(s, luminosity(*b)),
+        "Luminosity": lambda: _with_luminosity(b, luminosity(*s)),
+    }[mode]()
+
+
+def nearest_index(i: Column, source: int, target: int) -> Column:
+    """Index in ``source`` samples nearest to sample i of ``target``."""
+    return F.least(F.lit(source - 1), F.floor((i + 0.5) * source / target)).cast("int")
+
+
+def compensate_black(y: Column, source_black: float, target_black: float) -> Column:
+    """Scale so that the source's black meets the target's and white stays at 1."""
+    scale = (1.0 - target_black) / (1.0 - source_black)
+    return y * scale + (1.0 - scale)

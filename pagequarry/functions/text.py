@@ -171,3 +171,133 @@ def escape_markdown(text: Column) -> Column:
 def csv_field(text: Column) -> Column:
     """Quoted where the value holds a quote, comma or line break."""
     return F.when(text.rlike("[\",\r\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+# ------------------------------------------------------ tokens, scripts, languages
+
+
+def compact_tokens(text: Column) -> Column:
+    """Letters and digits of each token, tokens of at least two of them."""
+    return F.filter(F.transform(tokens(text), compact), lambda x: F.char_length(x) >= 2)
+
+
+def word_gap(space: Column, size: Column) -> Column:
+    """Least distance between characters of two words, by width of a space and font size."""
+    return F.greatest(space * 0.15, size * 0.08, F.lit(0.75))
+
+
+RIGHT_TO_LEFT = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"
+NEUTRAL = r"[\s0-9!-/:-@\[-`{-~\x{2000}-\x{206F}]"
+
+
+def right_to_left(text: Column) -> Column:
+    """More characters of right-to-left scripts than of others, neutral ones aside."""
+    rtl = count_of(text, RIGHT_TO_LEFT)
+    return rtl * 2 > F.char_length(text) - count_of(text, NEUTRAL)
+
+
+def clean(text: Column) -> Column:
+    """No-break spaces and line breaks as spaces, runs of them as one, ends trimmed."""
+    return F.trim(F.regexp_replace(F.translate(text, "\u00a0\n\r\t", "    "), " +", " "))
+
+
+def classifiable(text: Column) -> Column:
+    """Half of the visible characters are letters."""
+    visible = count_of(text, r"\S")
+    return (visible > 0) & (count_of(text, r"\p{L}") * 2 >= visible)
+
+
+def page_footer(text: Column) -> Column:
+    """Nothing but a page number, with or without the word and a total."""
+    return text.rlike(r"(?i)^\s*page\s+[0-9]{1,5}(\s+of\s+[0-9]{1,5})?\s*$")
+
+
+def reconciled(words: Column, text: Column) -> Column:
+    """Boxed words where they spell the text's tokens or are as many; else null."""
+    t = tokens(text)
+    spelled = F.array_join(words, "") == F.array_join(t, "")
+    return F.when(spelled | (F.size(words) == F.size(t)), words)
+
+
+def innocuous(text: Column, words: list[str]) -> Column:
+    """Nothing is left once the given words and signs other than letters and digits are taken out."""
+    return F.size(F.array_except(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.array(*map(F.lit, words)))) == 0
+
+
+def repeats_native(text: Column, native: Column) -> Column:
+    """A second reading that the native text holds, as a whole or token by token."""
+    known = compact_tokens(native)
+    mine = compact_tokens(text)
+    return F.contains(compact(native), compact(text)) | ((F.size(mine) > 0) & F.forall(mine, lambda t: F.array_contains(known, t)))
+
+
+#: Frequent short words of each language; ISO 639-3 codes.
+STOP_WORDS = {
+    "deu": ["der", "die", "und", "den", "von", "mit", "ein", "ist", "das", "nicht"],
+    "eng": ["the", "and", "of", "is", "it", "for", "by", "was", "that", "with"],
+    "fra": ["le", "la", "les", "des", "un", "dans", "est", "une", "pour", "et"],
+    "spa": ["el", "los", "de", "las", "del", "por", "con", "una", "que", "y"],
+}
+
+
+def language(text: Column, least: int = 5) -> Column:
+    """Code of the language with the most of its frequent words among the tokens, ties to
+    the smaller code; English for texts of fewer than ``least`` tokens, null without any hit."""
+    t = F.transform(tokens(text), lambda x: F.lower(x))
+    count = lambda words: F.size(F.filter(t, lambda x: x.isin(words)))
+    hits = [F.struct(count(words).alias("n"), F.lit(code).alias("code")) for code, words in sorted(STOP_WORDS.items())]
+    best = F.aggregate(F.array(*hits[1:]), hits[0], lambda a, b: F.when(b["n"] > a["n"], b).otherwise(a))
+    return F.when(F.size(t) < least, "eng").when(best["n"] > 0, best["code"])
+
+
+# ----------------------------------------------------------------------- search
+
+
+def find_all(text: Column, pattern: str) -> Column:
+    """Array of (start, end, text) of a pattern's matches, blank ones left out. Starts
+    follow from the pieces between matches, so no Python is needed. The pattern
+    must not match an empty string."""
+    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    widths = F.transform(F.arrays_zip(found.alias("m"), F.slice(between, F.lit(1), F.size(found)).alias("g")), lambda z: F.struct(z["m"].alias("m"), F.char_length(z["g"]).alias("g")))
+    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")).cast(kind)
+
+    def step(acc: Column, z: Column) -> Column:
+        start = acc["at"] + z["g"]
+        end = start + F.char_length(z["m"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), z["m"].alias("text"))).alias("out"))
+
+    return F.filter(F.aggregate(widths, begin, step, lambda a: a["out"]), lambda m: F.trim(m["text"]) != "")
+
+
+# ---------------------------------------------------------------- blocks and tables
+
+
+def markdown_block(kind: Column, text: Column, level: Column | None = None) -> Column:
+    """A heading with its level (2 where unset, within 1..6), a list item or a paragraph."""
+    depth = F.lit(2) if level is None else F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce(level, F.lit(2))))
+    body = escape_markdown(F.trim(text))
+    item = F.regexp_replace(F.trim(text), rf"^([0-9]{{1,9}}[.)]|[-*{BULLETS}])\s*", "")
+    number = F.regexp_extract(text, r"^\s*([0-9]{1,9})[.)](\s|$)", 1)
+    mark = F.when(number != "", F.concat(number, F.lit(". "))).otherwise("- ")
+    return F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), depth), F.lit(" "), body)).when(kind == "list", F.concat(mark, escape_markdown(item))).otherwise(body)
+
+
+def html_table(rows: Column) -> Column:
+    """An array of rows of cells (text, colspan, rowspan) as an HTML table; null cells are empty."""
+    span = lambda n, c: F.when(c > 1, F.concat(F.lit(f' {n}="'), c.cast("string"), F.lit('"'))).otherwise("")
+    cell = lambda c: F.concat(F.lit("<td"), span("colspan", c["colspan"]), span("rowspan", c["rowspan"]), F.lit(">"), escape_xml(F.coalesce(c["text"], F.lit(""))), F.lit("</td>"))
+    row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, cell), ""), F.lit("</tr>"))
+    return F.concat(F.lit("<table>"), F.array_join(F.transform(rows, row), ""), F.lit("</table>"))
+
+
+def content(text: Column, metadata: Column, without: list[str] | None = None) -> Column:
+    """A node's text below the lines of its metadata map, the given keys left out."""
+    kept = F.map_filter(metadata, lambda k, v: ~k.isin(without)) if without else metadata
+    head = F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
+    return F.when(F.size(kept) > 0, F.concat(head, F.lit("\n\n"), text)).otherwise(text)
+
+
+def header_version(head: Column) -> Column:
+    """Version after the file mark at the head of a file."""
+    return F.nullif(F.regexp_extract(head, r"%PDF-([0-9]+\.[0-9]+)", 1), F.lit(""))

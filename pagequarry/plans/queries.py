@@ -602,3 +602,6 @@ def event_hours(spark, d):
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 minute THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start_s, count(*) AS n FROM s GROUP BY user_id, k")
 def event_sessions(spark, d):
     return sessions(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start_s"), "n")
+
+
+from . import text_queries  # noqa: E402, F401  (registers its queries)
