@@ -5,10 +5,11 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import per_group
+
 
 def largest_gap(spans: list[tuple[float, float]], last: bool) -> tuple[float, float] | None:
     """(size, middle) of the largest gap between intervals; of equals the last or the first."""
@@ -70,18 +71,13 @@ def topological(boxes: list[tuple[float, float, float, float]]) -> list[int]:
 
 def reading_order(blocks: DataFrame, keys: list[str], ident: str, method: str = "xy") -> DataFrame:
     """keys, ident, order of each block of a page."""
-    kind = dict(blocks.dtypes)
-    schema = ", ".join([*[f"{k} {kind[k]}" for k in keys], f"{ident} {kind[ident]}", "`order` long"])
-    by = xy_cut if method == "xy" else topological
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        at = by(list(pdf[["x0", "top", "x1", "bottom"]].itertuples(index=False, name=None)))
-        out = pdf.iloc[at][[*keys, ident]].copy()
-        out["order"] = range(len(out))
-        return out
-
-    return blocks.select(*keys, ident, "x0", "top", "x1", "bottom").groupBy(*keys).applyInPandas(run, schema)
+    by, kind = (xy_cut if method == "xy" else topological), dict(blocks.dtypes)
+
+    def run(rows: list[dict]) -> list[tuple]:
+        at = by([(r["x0"], r["top"], r["x1"], r["bottom"]) for r in rows])
+        return [(rows[i][ident], n) for n, i in enumerate(at)]
+
+    return per_group(blocks, keys, [ident, "x0", "top", "x1", "bottom"], run, f"{ident} {kind[ident]}, `order` long")
 
 
 def columns_of(words: DataFrame, keys: list[str], least_gap: float = 24.0) -> DataFrame:

@@ -604,4 +604,4 @@ def event_sessions(spark, d):
     return sessions(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start_s"), "n")
 
 
-from . import page_queries, text_queries  # noqa: E402, F401  (register their queries)
+from . import grid_queries, page_queries, text_queries  # noqa: E402, F401  (register their queries)
