@@ -1,8 +1,11 @@
 """Lexical retrieval packing with a sharded BM25 index.
 
 Documents become ids once, in a stored table. Document frequencies and the mean
-length are counted over all of it. Each task then takes its documents in shards
-of bounded size and builds an inverted index of BM25 weights for each. A window
+length are counted over all of it. Rows are then placed by minwise terms, drawn
+with a chance that grows with a term's weight, so that documents that share heavy
+terms lie side by side whatever order they came in. Each task takes its documents
+in shards of bounded size and builds an inverted index of BM25 weights for each;
+a seed asks the index of its own shard only. A window
 starts with a seed, the rest of the last document or the next unused one;
 the index returns its best unused neighbours, and they fill the window. The one
 that does not fit is cut there, and its rest is the next seed, so windows are
@@ -20,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import mix64, read, stored, with_fields
 from .tokens import bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -64,6 +67,40 @@ def frequencies(ids: DataFrame, n_terms: int = 1 << 16) -> tuple[np.ndarray, int
     return df, docs, got.get(-2, 0) / max(1, docs)
 
 
+def ranks(idf: np.ndarray, count: int = 4) -> np.ndarray:
+    """``count`` orders of all terms. The first of a document's terms in one of them is
+    a term drawn with a chance by idf squared, the same for documents of the same terms."""
+    place = np.empty((count, len(idf)), dtype=np.uint16)
+    for k in range(count):
+        u = ((mix64(np.arange(len(idf), dtype=np.uint64) + np.uint64((k + 1) << 32)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+        place[k, np.argsort(-np.log(u) / np.maximum(idf, 1e-9) ** 2, kind="stable")] = np.arange(len(idf))
+    return place
+
+
+def placed(ids: DataFrame, idf: np.ndarray, n: int, shard_docs: int) -> DataFrame:
+    """The ``n`` rows dealt out and sorted by their minwise terms. Equal ones are told
+    apart by where they were read, so that a hot key is cut into as many tasks as it
+    fills. No more tasks are made than shards can be filled."""
+    spark = ids.sparkSession
+    shared = spark.sparkContext.broadcast(ranks(idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for b in batches:
+            if not len(b):
+                continue
+            bodies = [np.frombuffer(x.as_py(), dtype="<u2") for x in b.column("ids")]
+            first, whole = np.concatenate(([0], np.cumsum([len(x) for x in bodies])[:-1])), np.concatenate(bodies)
+            m = [np.minimum.reduceat(r[whole], first).astype(np.int64) for r in shared.value]
+            key = m[0] << 47 | m[1] << 31 | m[2] << 15 | m[3] >> 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key), pa.array(np.arange(at, at + len(b)))], names=[*b.schema.names, "_key", "_at"])
+            at += len(b)
+
+    keyed = ids.mapInArrow(run, with_fields(ids, "_key long, _at long"))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // shard_docs))
+    return keyed.repartitionByRange(parts, "_key", "_at").sortWithinPartitions("_key", "_at").drop("_key", "_at")
+
+
 class Shard:
     """BM25 inverted index of one shard's documents; used ones are never returned."""
 
@@ -117,7 +154,7 @@ def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 1024, shard_ids:
     ids and id 0 after them; null and empty texts are id 0 alone. Each id lies in
     exactly one piece; documents longer than a window run over several. Repeated
     rows and rows without doc_id are packed like any other. Equal scores go to
-    the earlier document. An empty table gives no piece. ``shard_docs`` and
+    the document placed earlier. An empty table gives no piece. ``shard_docs`` and
     ``shard_ids`` bound an index, not what is packed: a longer document is a
     shard by itself.
     """
@@ -187,7 +224,7 @@ def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 1024, shard_ids:
             shard(held)
             yield packed()
 
-    return ids.select("doc_id", "ids").mapInArrow(run, PIECES)
+    return placed(ids.select("doc_id", "ids"), idf, n, shard_docs).mapInArrow(run, PIECES)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -360,6 +360,21 @@ def test_packing_retrieves_neighbours():
     assert 2 not in index.neighbours(0, 4)
 
 
+@pytest.mark.parametrize("groups", [100, 400])
+def test_packing_meets_neighbours_from_all_over(spark, groups):
+    """Copies of a text lie far apart in the input; the share that meets one in its window does not fall as documents grow."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(40)] for _ in range(groups)]
+    docs = [(c * groups + g, " ".join(rng.choice(vocabulary) if rng.random() < 0.05 else w for w in base[g])) for c in range(4) for g in range(groups)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    by = {}
+    for r in packing.pack(df, window=512, shard_docs=32).collect():
+        by.setdefault(r.sequence_id, set()).add(r.doc_id)
+    met = {d for window in by.values() for d in window if any(e != d and e % groups == d % groups for e in window)}
+    assert len(met) >= 0.6 * len(docs)
+
+
 def test_tokenbin(spark, data, odd, none):
     encode = hf()
     got = QUERIES["op8_tokenbin"](spark, data).toPandas()
