@@ -104,7 +104,7 @@ def placed(ids: DataFrame, idf: np.ndarray, n: int, shard_docs: int) -> DataFram
 class Shard:
     """BM25 inverted index of one shard's documents; used ones are never returned."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = None):
         self.n, self.idf, self.most = len(docs), idf, query_terms
         self.free = np.ones(self.n, dtype=bool)
         self.next = 0
@@ -130,11 +130,12 @@ class Shard:
         return self.next if self.next < self.n else -1
 
     def neighbours(self, seed: int, count: int) -> list[int]:
-        """The best unused documents for a seed, by its ``query_terms`` heaviest terms;
-        the next unused ones in order where no term is shared."""
+        """The best unused documents for a seed, by all its terms or, where that is
+        given, its ``query_terms`` heaviest; the next unused ones in order where no
+        term is shared."""
         lo, hi = self.own[seed], self.own[seed + 1]
         t, w = self.terms[lo:hi], self.weights[lo:hi]
-        if len(t) > self.most:
+        if self.most and len(t) > self.most:
             t = t[np.argpartition(-w, self.most)[: self.most]]
         spans = list(zip(self.at[t].tolist(), self.to[t].tolist()))
         score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
@@ -147,7 +148,7 @@ class Shard:
         return [int(i) for i in best if score[i] >= 0]
 
 
-def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 1024, shard_ids: int = 4_000_000, query_terms: int = 32, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 1024, shard_ids: int = 4_000_000, query_terms: int | None = None, vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs`` needs doc_id and text; other columns are ignored. A document is its

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -360,6 +361,19 @@ def test_packing_retrieves_neighbours():
     assert 2 not in index.neighbours(0, 4)
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    """The order is that of the full query, also where a document shares none of the heaviest terms."""
+    rng = np.random.default_rng(3)
+    most = inspect.signature(packing.pack).parameters["query_terms"].default
+    idf = np.linspace(1, 3, 400)
+    docs = [np.arange(0, 400, 2, dtype=np.uint16), *(np.sort(rng.choice(400, rng.integers(20, 200), replace=False)).astype(np.uint16) for _ in range(60)), np.arange(0, 320, 2, dtype=np.uint16)]
+    index = packing.Shard(docs, idf, 100.0, most)
+    index.free[0] = False
+    full = [sum(idf[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / 100.0)) for t in set(d.tolist()) & set(docs[0].tolist())) for d in docs]
+    want = sorted(range(1, len(docs)), key=lambda i: -full[i])[:4]
+    assert want[0] == len(docs) - 1 and index.neighbours(0, 4) == want
+
+
 @pytest.mark.parametrize("groups", [100, 400])
 def test_packing_meets_neighbours_from_all_over(spark, groups):
     """Copies of a text lie far apart in the input; the share that meets one in its window does not fall as documents grow."""
