@@ -317,16 +317,22 @@ def heading_rank(spark, d):
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(' ' || d.text || ' ', ' ' || array_to_string(list_filter(string_split(b.text, ' '), lambda x: x <> ''), ' ') || ' ') AND len(string_split(b.text, ' ')) >= 3")
 def containment(spark, d):
-    """Benchmark texts whose words are a contiguous run of a document's: candidates by
-    the item's first three words among the document's, then the exact test."""
-    split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    three = lambda w, i: F.concat_ws(" ", F.slice(w, i, 3))
-    items = table(spark, d, "benchmark").select("item_id", split(F.col("text")).alias("part")).where(F.size("part") >= 3).withColumn("k", three(F.col("part"), F.lit(1)))
-    runs = docs(spark, d).select("doc_id", F.split("text", " ").alias("w")).where(F.size("w") >= 3)
-    grams = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: three(F.col("w"), i)))).alias("k"))
+    """Benchmark texts whose words, taken at all white space, are a contiguous run of a
+    document's: candidates by the item's first three words, or all of a shorter one's,
+    among the document's, then the exact test. The SQL cuts words at the single space
+    and leaves out items of less than three, so it has fewer rows on such texts."""
+    split = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    run = lambda w, i, n: F.concat_ws(" ", F.slice(w, i, n))
+    spaced = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    items = table(spark, d, "benchmark").select("item_id", split(F.col("text")).alias("part")).where(F.size("part") > 0)
+    items = items.select("item_id", "part", F.least(F.size("part"), F.lit(3)).alias("n")).withColumn("k", run(F.col("part"), F.lit(1), F.col("n")))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # of 1, 2 and 3
+    runs = docs(spark, d).select("doc_id", split(F.col("text")).alias("w"))
+    every = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: run(F.col("w"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = runs.select("doc_id", F.explode(F.array_distinct(F.concat(*[every(n) for n in lengths or [3]]))).alias("k"))
     pairs = grams.join(items, "k").select("doc_id", "item_id", "part")
     out = pairs.join(docs(spark, d).select("doc_id", "text"), "doc_id")
-    return out.where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), F.array_join("part", " "), F.lit(" ")))).select("item_id", "doc_id")
+    return out.where(F.contains(spaced(split(F.col("text"))), spaced(F.col("part")))).select("item_id", "doc_id")
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, levenshtein(a.p_name, b.p_name) AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) <= 2")

@@ -18,3 +18,15 @@ def test_entry_module(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_containment_takes_words_at_all_white_space(spark, tmp_path):
+    texts = {1: "Les.\nErly the big\tcat  sat\n", 2: "Erly the  big cat", 3: "early the big cats", 4: "cat", 5: "", 6: None, 7: "the cat sat"}
+    items = {1: "Erly the big cat", 2: " big\ncat ", 3: "cat", 4: " \n ", 5: "cat sat", 6: "the big cat sat on", 7: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    split = lambda t: (t or "").split()
+    runs = lambda w, n: [w[i : i + n] for i in range(len(w) - n + 1)]
+    want = sorted((i, d) for i, a in items.items() for d, b in texts.items() if split(a) and split(a) in runs(split(b), len(split(a))))
+    got = sorted((r.item_id, r.doc_id) for r in QUERIES["containment"](spark, str(tmp_path)).collect())
+    assert got == want and (1, 1) in got and (3, 4) in got
