@@ -37,13 +37,16 @@ def word_count(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is missing, as in tests, a local temporary folder
-    takes its place.
+    Where that setting is missing, a local temporary folder takes its place in
+    local mode, as in tests; on a cluster this raises, as executors could not
+    read each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
@@ -74,22 +77,60 @@ def hash52(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def running_start(df: DataFrame, group: str, place: str, ties: list[str], value: Column, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Exclusive running sum of ``value`` within ``group`` in the order of ``place``.
+def collapsed(df: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number in ``copies``; combined before the shuffle."""
+    return df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
 
-    ``place`` is a uniform 52-bit hash. Its leading bits make buckets of about
-    ``rows_per_bucket`` rows, so that no group, however hot, is sorted in one
-    task: only bucket totals are summed per group, then each bucket is numbered
-    on its own. ``df`` is read three times, so pass a stored table.
+
+def running_start(df: DataFrame, group: str, order: list[str], value: Column, out: str, rows_per_part: int = 50_000, chunk: int = 10_000) -> DataFrame:
+    """Exclusive running sum of ``value`` within ``group`` (not null) in the total order ``order``.
+
+    ``df`` is a stored table of ``collapsed`` rows. It is dealt out by ranges of
+    the whole order, so neither a hot group nor a hot first key stands in one
+    task; only the totals of ranges are summed per group. Each row then comes
+    back ``copies`` times, the number of each in ``copy``; rows of many copies
+    are expanded in chunks that are dealt out.
+    """
+    n, most = df.agg(F.count("*"), F.max("copies")).first()
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows_per_part))
+    ranged = df.repartitionByRange(parts, group, *order).withColumn("_p", F.spark_partition_id()).withColumn("_v", value)
+    ranged = stored(ranged, "ranged")
+    worth = F.col("_v") * F.col("copies")
+    totals = ranged.groupBy(group, "_p").agg(F.sum(worth).alias("_t"))
+    before = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(group, "_p", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumn("_s", F.coalesce(F.sum(worth).over(inside), F.lit(0))).join(totals, [group, "_p"])
+    if (most or 0) > chunk:
+        rows = rows.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / chunk)))).repartition(parts)
+    else:
+        rows = rows.withColumn("_c", F.lit(0).cast("long"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("copies")) - 1)))
+    return rows.withColumn(out, F.col("_o") + F.col("_s") + F.col("copy") * F.col("_v")).drop("_p", "_v", "_o", "_s", "_c", "copies")
+
+
+def numbered(rows: DataFrame, key: list[str], hot: DataFrame, out: str, chunk: int = 10_000) -> DataFrame:
+    """Number the rows of each ``key`` (no nulls in it) from 0, in any order.
+
+    ``hot`` holds the keys of more than ``chunk`` rows. Theirs are stored once
+    and numbered in runs of ``chunk`` rows, whose totals are summed per key.
     """
-    bits = min(40, max(0, int(np.ceil(np.log2(max(1, df.count() / rows_per_bucket))))))
-    df = df.withColumn("_b", F.shiftright(F.col(place), HASH_BITS - bits)).withColumn("_v", value)
-    totals = df.groupBy(group, "_b").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(group, "_b").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_s", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    return df.join(totals, [group, "_b"]).withColumn(out, F.col("_o") + F.col("_s")).drop("_b", "_v", "_o", "_s")
+    one = Window.partitionBy(*key).orderBy(F.lit(0))
+    number = (F.row_number().over(one) - 1).cast("long")
+    if hot.isEmpty():
+        return rows.withColumn(out, number)
+    hot = stored(hot.select(*key), "hot")
+    hot = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    at = F.monotonically_increasing_id()
+    own = stored(rows.join(hot, key, "left_semi").withColumn("_at", at), "hot_rows")
+    own = own.withColumn("_run", F.floor(F.col("_at") / chunk))
+    totals = own.groupBy(*key, "_run").agg(F.count("*").alias("_t"))
+    before = Window.partitionBy(*key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*key, "_run", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    run = Window.partitionBy(*key, "_run").orderBy("_at")
+    own = own.withColumn("_n", F.row_number().over(run) - 1).join(totals, [*key, "_run"])
+    own = own.withColumn(out, F.col("_o") + F.col("_n")).select(*rows.columns, out)
+    return rows.join(hot, key, "left_anti").withColumn(out, number).unionByName(own)
 
 
 # ---------------------------------------------------------- groups without pandas

@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import feistel, hash52, mix64, running_start, stored, word_count
+from .common import collapsed, feistel, hash52, mix64, numbered, running_start, stored, word_count
 
 PIECE = T.ArrayType(T.StructType([T.StructField("epoch", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("words", T.LongType())]))
 
@@ -61,19 +61,32 @@ def split_quota(blocks: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat_limit: int = 3, n_shards: int = 8, block_words: int = 4096, seed: int = 17) -> DataFrame:
+def _sizes(docs: DataFrame, seed: int) -> DataFrame:
+    """Stored rows of doc_id, source, size, tie (a hash of the text), place and copies."""
+    size, tie = word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")
+    base = collapsed(docs.select("doc_id", "source", size, tie))
+    return stored(base.withColumn("place", hash52(F.lit(seed), F.col("doc_id"), F.col("tie"), F.col("size"))), "sizes")
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """What the mix takes of each document: doc_id, source, size, source_size,
     target, taken and ``pieces`` (one per pass: epoch, shard, place, words).
 
     ``docs`` needs doc_id, text and source; other columns are ignored. Null
     texts, empty texts and texts of white space have size 0 and are never
     taken. The null source is a source of its own, ordered last. Repeated rows
-    are documents of their own. An empty table gives an empty plan. Texts are
+    are documents of their own; rows of one id or of none are told apart by
+    their texts. An empty table gives an empty plan. Texts, however long, are
     counted whole; a document is cut only where its source's quota ends. One
-    row per source is held on the driver.
+    row per source is held on the driver. Options are those of ``_plan``.
     """
-    base = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash52(F.lit(seed), F.col("doc_id")).alias("place"), F.xxhash64("text").alias("tie")), "sizes")
-    rows = [(r["source"], r["size"]) for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()]
+    seed = options.get("seed", 17)
+    return _plan(_sizes(docs, seed), **options)
+
+
+def _plan(base: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeat_limit: int = 3, n_shards: int = 8, block_words: int = 4096, seed: int = 17) -> DataFrame:
+    spark = base.sparkSession
+    rows = [(r["source"], r["size"]) for r in base.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).collect()]
     rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [int(r[1]) for r in rows]
     target = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], repeat_limit)
@@ -84,12 +97,11 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repe
     blocks = passes * per_pass + -(-part // block_words)
     until = np.cumsum(split_quota(blocks, n_shards, seed), axis=0) if len(rows) else np.zeros((n_shards, 0), np.int64)
 
-    spark = docs.sparkSession
     schema = "source string, rank int, source_size long, target double"
     known = spark.createDataFrame([(r[0], i, sizes[i], target[i]) for i, r in enumerate(rows)], schema)
     # one row per source: a few bytes each, so the driver's own list bounds it
     base = base.join(F.broadcast(known) if len(rows) <= 100_000 else known, base["source"].eqNullSafe(known["source"])).drop(known["source"])
-    placed = running_start(base, "rank", "place", ["doc_id", "tie", "size"], F.col("size"), "start")
+    placed = running_start(base, "rank", ["place", "doc_id", "tie", "size"], F.col("size"), "start")
 
     def draw(rank: pd.Series, start: pd.Series, size: pd.Series, place: pd.Series) -> pd.Series:
         out: list[list[dict]] = [[] for _ in range(len(rank))]
@@ -101,7 +113,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repe
                 mine = np.flatnonzero((s == one) & (words > 0))
                 slot = feistel(block[mine], int(blocks[one]), seed * 1_000_003 + int(one))
                 shard = np.searchsorted(until[:, one], slot, side="right")
-                key = (mix64(h[mine].astype(np.uint64) * np.uint64(8) + np.uint64(e)) >> np.uint64(1)).astype(np.int64)
+                key = (mix64((h[mine] ^ at[mine] * 0x9E3779B1).astype(np.uint64) * np.uint64(8) + np.uint64(e)) >> np.uint64(1)).astype(np.int64)
                 for i, k, p, w in zip(mine.tolist(), shard.tolist(), key.tolist(), words[mine].tolist()):
                     out[i].append({"epoch": e, "shard": k, "place": p, "words": w})
         return pd.Series(out)
@@ -109,23 +121,31 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), repe
     pieces = F.pandas_udf(draw, PIECE)("rank", "start", "size", "place")
     placed = placed.withColumn("pieces", pieces)
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"])
-    return placed.select("doc_id", "source", "tie", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return placed.select("doc_id", "source", "tie", "copy", "start", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, chunk: int = 10_000, **options) -> DataFrame:
     """The mixed documents: the columns of ``docs``, one row per pass in which at
     least half of a document's words are taken, dealt to shards and shuffled in them.
 
-    Documents the quota leaves out do not appear. Plan and rows meet by doc_id,
-    text and source, and by a number within those, so null ids and repeated
-    rows each keep their own share. Columns of any other name pass through.
+    The first document of a source appears whenever a word of it is taken, so
+    no source with a target of a word or more is left out. Documents that the
+    quota leaves out do not appear; an empty table gives no row. Plan and rows
+    meet by doc_id, text and source, and by a number within those, so null ids
+    and repeated rows each keep their own share; keys of more than ``chunk``
+    rows are numbered in pieces. Texts are passed whole, however long. Columns
+    of any other name pass through.
     """
     key = ["id", "tie", "source"]
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    known = lambda df: df.withColumns({"id": F.coalesce(F.col("id").cast("string"), F.lit("null")), "source": F.struct("source")}).withColumn("n", number)
-    plan = known(mix_plan(docs, **options).withColumnRenamed("doc_id", "id"))
-    plan = plan.select(*key, "n", "size", F.explode("pieces").alias("p")).where(F.col("p.words") * 2 >= F.col("size"))
+    known = lambda df: df.withColumns({"id": F.coalesce(F.col("id").cast("string"), F.lit("null")), "source": F.struct("source")})
+    base = _sizes(docs, options.get("seed", 17))
+    hot = known(base.where(F.col("copies") > chunk).select(F.col("doc_id").alias("id"), "tie", "source"))
+    plan = known(_plan(base, **options).withColumnRenamed("doc_id", "id"))
+    whole = F.col("p.words") * 2 >= F.col("size")
+    opening = (F.col("p.epoch") == 0) & (F.col("start") == 0)
+    plan = plan.select(*key, F.col("copy").alias("n"), "start", "size", F.explode("pieces").alias("p")).where(whole | opening)
     rows = known(docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), "source"))
+    rows = numbered(rows, key, hot, "n", chunk)
     out = rows.join(plan.select(*key, "n", F.col("p.shard").alias("shard"), F.col("p.place").alias("place")), [*key, "n"])
     # a shard is written by several tasks, each with a range of its places
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

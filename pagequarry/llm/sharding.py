@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, hash52, read, running_start, stored
+from .common import HASH_BITS, collapsed, hash52, read, running_start, stored
 
 Tree = list[tuple[str, float, list[tuple[str, float, list[tuple[int, float]]]]]]
 
@@ -65,12 +65,22 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     ``docs`` needs doc_id and text; other columns are ignored. Size is the bytes
     of the text plus 1 (null text: 1). Slots count from 0 without a gap in each
     shard, by a hash of doc_id, then doc_id, checksum and size: repeated rows
-    take neighbouring slots of one shard. Rows without doc_id share a shard.
+    take neighbouring slots of one shard. Rows without doc_id share a shard, as
+    the law asks, but not a task. An empty table gives no row; long texts are
+    read whole.
     """
     key = F.col("doc_id")
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    base = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), shard_of(key, tree).cast("int").alias("shard"), (shard_of(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"), hash52(key).alias("place"))
-    placed = running_start(stored(base, "shards"), "shard", "place", ["doc_id", "text_crc32", "size"], F.lit(1), "slot")
+    base = docs.select(
+        "doc_id",
+        (F.octet_length(body) + 1).cast("long").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        shard_of(key, tree).cast("int").alias("shard"),
+        (shard_of(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
+        hash52(key).alias("place"),
+    )
+    base = stored(collapsed(base), "shards")
+    placed = running_start(base, "shard", ["place", "doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
