@@ -26,18 +26,17 @@ FOUND = "query_id long, vec_id long, score double"
 
 def valid(vectors: DataFrame) -> DataFrame:
     """(vec_id, v: array<double>) of the rows that take part: an id, no null or
-    non-finite component, not all zero, and the most frequent length (the larger of equals)."""
+    non-finite component, and not all zero."""
     v = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & sound)
-    return rows
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & sound)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        at = _nearest(x, c)
+        at = _closest(x, c)
         n = np.bincount(at, minlength=k)
         total = np.stack([np.bincount(at, weights=x[:, j], minlength=k) for j in range(x.shape[1])], axis=1)
         full = n > 0
@@ -47,7 +46,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c
 
 
-def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     half = (c * c).sum(axis=1) / 2
     return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, np.int64)
 
@@ -58,7 +57,7 @@ class Index:
     def __init__(self, sample: np.ndarray, n_lists: int, n_groups: int, n_codes: int, seed: int):
         rng = np.random.default_rng(seed)
         self.centroids = _kmeans(sample, n_lists, rng)
-        rest = sample - self.centroids[_nearest(sample, self.centroids)]
+        rest = sample - self.centroids[_closest(sample, self.centroids)]
         self.groups = [g for g in np.array_split(np.arange(sample.shape[1]), min(n_groups, sample.shape[1]))]
         self.books = [_kmeans(rest[:, g], n_codes, rng, 8) for g in self.groups]
 
@@ -70,13 +69,13 @@ class Index:
         near[np.arange(len(q)), np.arange(len(q))] = -np.inf
         best = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
         place = np.argsort(np.argsort((c * c).sum(axis=1)[None] / 2 - q @ c.T, axis=1), axis=1)
-        ranks = np.sort(np.take_along_axis(place, _nearest(sample, c)[best], axis=1).ravel())
+        ranks = np.sort(np.take_along_axis(place, _closest(sample, c)[best], axis=1).ravel())
         return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))]) + 1 if len(ranks) else 1
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = _nearest(x, self.centroids)
+        at = _closest(x, self.centroids)
         rest = x - self.centroids[at]
-        return at, np.stack([_nearest(rest[:, g], b) for g, b in zip(self.groups, self.books)], axis=1).astype(np.uint8)
+        return at, np.stack([_closest(rest[:, g], b) for g, b in zip(self.groups, self.books)], axis=1).astype(np.uint8)
 
     def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to codes of one list, from tables per group."""
@@ -93,27 +92,67 @@ def cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return (rows * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((rows * rows).sum(axis=1)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int = 16_384, n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.96, n_groups: int = 16, n_codes: int = 256, rerank: int = 64, block_rows: int = 4096, block_queries: int = 1024, seed: int = 5) -> DataFrame:
+def first_distinct(ids: np.ndarray, far: np.ndarray, count: int) -> np.ndarray:
+    """Rows in order of ``far``, up to the one that brings the ``count``-th distinct id."""
+    order = np.argsort(far, kind="stable")
+    fresh = np.zeros(len(ids), dtype=bool)
+    fresh[np.unique(ids[order], return_index=True)[1]] = True
+    return order[: int(np.searchsorted(np.cumsum(fresh), count)) + 1]
+
+
+def best_of(name: int, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best distinct ids but ``name``, ties to the smaller, with their best scores."""
+    top = np.lexsort((ids, -score))
+    top = top[ids[top] != name]
+    top = top[np.sort(np.unique(ids[top], return_index=True)[1])[:k]]
+    return ids[top], score[top]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query.
 
     Both frames need vec_id and embedding; other columns are ignored. A query's
     own row (its vec_id) is no candidate. Vectors that ``valid`` leaves out take
-    no part on either side. Rows repeated under one vec_id count once, with
-    their best score; ties go to the smaller vec_id. With no query or no
-    candidate nothing is returned. The fit reads at most ``sample_rows`` rows,
-    the first by hash; every row is indexed. ``n_lists`` defaults to the square
-    root of the rows, at most 4096, ``n_probe`` to what reaches ``recall`` within
-    the sample, 16 at least.
+    no part on either side; vectors of one length are searched among
+    themselves, as others have no cosine with them. Rows repeated under one
+    vec_id count once, with their best score; ties go to the smaller vec_id. A
+    query that finds fewer than ``k`` in the lists it visits then visits all, so
+    only a want of candidates leaves it with fewer. With no query or no
+    candidate nothing is returned. Options are those of ``search_length``.
     """
     spark = vectors.sparkSession
-    rows, asked = valid(vectors), valid(queries).dropDuplicates(["vec_id", "v"])
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n = dims["d"], dims["count"]
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
-    sample = np.array([r["v"] for r in picked.select("v").collect()], dtype=np.float64).reshape(-1, dim)
+    rows, asked = valid(vectors), valid(queries)
+    # one number for each length of vector
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.countDistinct("vec_id").alias("n")).orderBy("d").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = None
+    for r in dims:
+        own = F.size("v") == r["d"]
+        one = search_length(rows.where(own), asked.where(own), r["d"], r["n"], k, **options)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return out
+    if len(dims) > 1:
+        # an id may stand for vectors of several lengths
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, sample_rows: int = 16_384, n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.96, n_groups: int = 16, n_codes: int = 256, rerank: int = 64, block_rows: int = 4096, block_queries: int = 1024, seed: int = 5) -> DataFrame:
+    """Candidates (query_id, vec_id, score) among vectors of one length.
+
+    The fit reads at most ``sample_rows`` distinct rows, the first by a hash of
+    id and vector; every row is indexed. ``n_lists`` defaults to the square root
+    of the ids, at most 4096, ``n_probe`` to what reaches ``recall`` within the
+    sample, 16 at least. ``rerank`` distinct ids of a block are scored exactly.
+    """
+    spark = rows.sparkSession
+    mark = F.xxhash64("vec_id", "v")
+    marks = rows.select(mark.alias("m")).distinct().orderBy("m").limit(sample_rows)
+    picked = rows.withColumn("m", mark).join(F.broadcast(marks), "m", "left_semi").dropDuplicates(["vec_id", "v"])
+    sample = sorted((r["m"], r["vec_id"], r["v"]) for r in picked.collect())  # at most sample_rows rows
+    sample = np.array([r[2] for r in sample], dtype=np.float64).reshape(-1, dim)
     unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
     lists = n_lists or int(np.clip(np.sqrt(n), 1, 4096))
     index = Index(unit(sample), lists, n_groups, n_codes, seed)
@@ -128,57 +167,79 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, sample_rows: int
         for b in batches:
             x = matrix(b)
             at, codes = shared.value.encode(unit(x))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["list", "vec_id", "code", "raw"])
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, len(whole), 512):
-                b = whole.slice(i, 512)
-                x = matrix(b)
-                u, c = unit(x), shared.value.centroids
-                near = np.argsort((c * c).sum(axis=1)[None] / 2 - u @ c.T, axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(len(x)), probes))
-                raw = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), b.column("vec_id").take(at), raw.take(at)], names=["list", "query_id", "raw"])
-
-    indexed = stored(rows.mapInArrow(encode, "list int, vec_id long, code binary, raw binary"), "index")
-    visits = stored(asked.mapInArrow(visit, "list int, query_id long, raw binary"), "visits")
-    # blocks per list, one number a list
-    sizes = indexed.groupBy("list").count().select("list", F.ceil(F.col("count") / block_rows).cast("int").alias("nr"))
-    parts = sizes.join(visits.groupBy("list").count().select("list", F.ceil(F.col("count") / block_queries).cast("int").alias("nq")), "list")
-    known = [tuple(r) for r in parts.collect()]
-    parts = lambda: F.broadcast(spark.createDataFrame(known, "list int, nr int, nq int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = indexed.join(parts(), "list").withColumn("rb", F.pmod(F.xxhash64("vec_id", "raw"), F.col("nr")).cast("int")).withColumn("qb", spread("nq")).select("list", "rb", "qb", "vec_id", "code", "raw")
-    right = visits.join(parts(), "list").withColumn("qb", F.pmod(F.xxhash64("query_id", "raw"), F.col("nq")).cast("int")).withColumn("rb", spread("nr")).select("list", "rb", "qb", "query_id", "raw")
+            columns = [pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "code", "raw"])
+
+    def visits_of(probes: int):
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, len(whole), 512):
+                    b = whole.slice(i, 512)
+                    x = matrix(b)
+                    u, c = unit(x), shared.value.centroids
+                    near = np.argsort((c * c).sum(axis=1)[None] / 2 - u @ c.T, axis=1, kind="stable")[:, :probes]
+                    at = pa.array(np.repeat(np.arange(len(x)), probes))
+                    raw = pa.array([r.tobytes() for r in x], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), b.column("vec_id").take(at), raw.take(at)], names=["list", "query_id", "raw"])
+
+        return visit
+
+    indexed = rows.dropDuplicates(["vec_id", "v"]).mapInArrow(encode, "list int, vec_id long, code binary, raw binary")
+    indexed = stored(indexed, "index")
+    asked = stored(asked.dropDuplicates(["vec_id", "v"]), "asked")
 
     def search(key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(ask):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = own.sort_values("vec_id", kind="stable")
-        ids = own["vec_id"].to_numpy()
+        own = own.sort_values(["vec_id", "raw"], kind="stable")
+        ids, names = own["vec_id"].to_numpy(), ask["query_id"].to_numpy()
         codes = np.frombuffer(b"".join(own["code"]), dtype=np.uint8).reshape(len(own), -1)
         raw = np.frombuffer(b"".join(own["raw"]), dtype=np.float64).reshape(-1, dim)
         q = np.frombuffer(b"".join(ask["raw"]), dtype=np.float64).reshape(-1, dim)
-        most = min(len(own), rerank + 1)
-        out = []
+        norm = np.sqrt((raw * raw).sum(axis=1))
+        single, most = (ids[1:] != ids[:-1]).all(), rerank + 1
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in range(0, len(q), 128):
-            far = shared.value.distances(unit(q[i : i + 128]), key[0], codes)
-            best = np.argsort(far, axis=1, kind="stable")[:, :most]
-            for one, name, cand in zip(q[i : i + 128], ask["query_id"].to_numpy()[i : i + 128], best):
-                cand = cand[ids[cand] != name]
-                score = cosine(one, raw[cand])
-                top = np.lexsort((ids[cand], -score))
-                _, first = np.unique(ids[cand][top], return_index=True)
-                top = top[np.sort(first)[:k]]
-                out.append(pd.DataFrame({"query_id": name, "vec_id": ids[cand][top], "score": score[top]}))
-        return pd.concat(out)
-
-    keys = ["list", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            some, asking = q[i : i + 128], names[i : i + 128]
+            far = shared.value.distances(unit(some), key[0], codes)
+            if not single:
+                for one, name, d in zip(some, asking, far):
+                    cand = first_distinct(ids, d, most)
+                    vec, score = best_of(name, ids[cand], cosine(one, raw[cand]), k)
+                    out.append((np.full(len(vec), name), vec, score))
+                continue
+            # no id stands twice, so all queries of the chunk go at once
+            cand = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(some), 1))
+            score = (raw[cand] * some[:, None]).sum(axis=2) / (np.sqrt((some * some).sum(axis=1))[:, None] * norm[cand])
+            score[ids[cand] == asking[:, None]] = -np.inf
+            top = np.lexsort((ids[cand], -score), axis=1)[:, :k]
+            score, vec = np.take_along_axis(score, top, axis=1), np.take_along_axis(ids[cand], top, axis=1)
+            good = score > -np.inf
+            out.append((np.broadcast_to(asking[:, None], good.shape)[good], vec[good], score[good]))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
+
+    def find(asked: DataFrame, probes: int) -> DataFrame:
+        visits = stored(asked.mapInArrow(visits_of(probes), "list int, query_id long, raw binary"), "visits")
+        # blocks per list, one number a list
+        blocks = lambda df, size, name: df.groupBy("list").count().select("list", F.ceil(F.col("count") / size).cast("int").alias(name))
+        known = [tuple(r) for r in blocks(indexed, block_rows, "nr").join(blocks(visits, block_queries, "nq"), "list").collect()]
+        parts = lambda: F.broadcast(spark.createDataFrame(known, "list int, nr int, nq int"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        block = lambda name, n: F.pmod(F.xxhash64(name, "raw"), F.col(n)).cast("int")
+        keys = ["list", "rb", "qb"]
+        left = indexed.join(parts(), "list").withColumn("rb", block("vec_id", "nr")).withColumn("qb", spread("nq")).select(*keys, "vec_id", "code", "raw")
+        right = visits.join(parts(), "list").withColumn("qb", block("query_id", "nq")).withColumn("rb", spread("nr")).select(*keys, "query_id", "raw")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
+        # an id may stand in several blocks, and a query for several vectors
+        return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
+
+    found = find(asked, probes)
+    if probes < lists:
+        full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+        short = stored(asked.join(full, "vec_id", "left_anti"), "short")
+        if not short.isEmpty():
+            found = found.unionByName(find(short, lists)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return found
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:
