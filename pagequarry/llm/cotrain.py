@@ -1,12 +1,13 @@
 """Quality classifier by co-training over two views of a document.
 
 The text view sees words (hashed, those whose frequency differs between the
-labels) and measures of the text's style; the metadata view sees what the table
-says of the page: language, source, declared length, and its line layout. Each
-view is a logistic regression. In every round each view labels the unlabelled
-pool, and what it is sure of by its calibrated probability goes to the other
-view's training set. A held-out part of the labels calibrates each view (Platt)
-and fits the combination of both, which then scores every document.
+labels) and measures of the text's style and line layout; the metadata view sees
+only what the table says of the page: language, source and declared length. Each
+view is a logistic regression, fitted on the labelled documents. In every round
+each view judges all unlabelled documents of the corpus, and of those that it is
+sure of by its calibrated probability a class-balanced draw goes, with its labels,
+to the other view's training set. A held-out part of the labels calibrates each
+view (Platt) and fits the combination of both, which then scores every document.
 
 Two such pairs are trained: one for low quality, one for toxicity. A document is
 kept if neither says so.
@@ -14,6 +15,7 @@ kept if neither says so.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, read, text_chunks, trim, with_fields
+from .common import hash_words, read, stored, text_chunks, trim, with_fields
 
-BITS = 20
+BITS = 18
 SLOTS = 1 << BITS
 LANGS, SOURCES = 16, 64
 SCORES = "n_words long, p_low double, p_toxic double"
@@ -53,25 +55,24 @@ def style(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndar
     distinct = np.array([len(np.unique(h[a:b])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], dtype=np.float64)
     length = by((end - start).astype(np.float64), bounds) / some
     heavy = by((end - start) == 1, bounds) / some
-    return np.stack([np.log1p(n), length, distinct / some, distinct / np.sqrt(some), by(same, bounds) / some, heavy, *shares, *[np.sqrt(s) for s in shares[:4]]], axis=1)
+    lines = by(data == 10, offsets) + 1
+    layout = [np.log1p(lines), np.log1p(size / lines)]
+    return np.stack([*layout, np.log1p(n), length, distinct / some, distinct / np.sqrt(some), by(same, bounds) / some, heavy, *shares, *[np.sqrt(s) for s in shares[:4]]], axis=1)
 
 
-def metadata(batch: pa.RecordBatch, rows: slice, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Language and source as hashed indicators, declared length and line layout."""
-    count = len(offsets) - 1
-    out = np.zeros((count, LANGS + SOURCES + 4))
+def metadata(batch: pa.RecordBatch, first: int, count: int) -> np.ndarray:
+    """Language and source as hashed indicators, of their whole values, null apart
+    from empty, and the declared length."""
+    out = np.zeros((count, LANGS + SOURCES + 2))
     for name, width, base in (("lang", LANGS, 0), ("source", SOURCES, LANGS)):
-        values = batch.column(name).slice(rows.start, count).to_pylist()
-        for i, v in enumerate(values):
-            word = np.frombuffer((v or "").encode().ljust(8, b"\0")[-8:], dtype=np.uint64)
-            out[i, base + int(mix64(word + np.uint64(len(v or "")))[0] % np.uint64(width))] = 1
-    declared = batch.column("n_chars").slice(rows.start, count).to_pylist()
-    lines = np.concatenate(([0], np.cumsum(data == 10)))
-    lines = lines[offsets[1:]] - lines[offsets[:-1]] + 1.0
-    out[:, -4] = [np.log1p(max(0, v or 0)) for v in declared]
-    out[:, -3] = [v is None for v in declared]
-    out[:, -2] = np.log1p(lines)
-    out[:, -1] = np.log1p(np.diff(offsets) / lines)
+        coded = batch.column(name).slice(first, count).dictionary_encode()
+        values = [(b"-" if v is None else b"+" + v.encode()) for v in [*coded.dictionary.to_pylist(), None]]
+        slots = np.array([int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little") % width for v in values])
+        at = coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
+        out[np.arange(count), base + slots[at]] = 1
+    declared = batch.column("n_chars").slice(first, count).to_pylist()
+    out[:, -2] = [np.log1p(max(0, v or 0)) for v in declared]
+    out[:, -1] = [v is None for v in declared]
     return out
 
 
@@ -141,33 +142,31 @@ def _chance(z: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 class Pair:
-    """Both views for one label, co-trained."""
+    """Both views for one label. Rows are numbered; ``y`` is not a number where a label is unknown."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, words: list[np.ndarray], y: np.ndarray, rounds: int, sure: float, seed: int):
-        rng = np.random.default_rng(seed)
+    def __init__(self, dense: list[np.ndarray], words: list[np.ndarray], y: np.ndarray, seed: int):
         known = np.flatnonzero(~np.isnan(y))
-        known = known[rng.permutation(len(known))]
-        held, train, pool = known[: len(known) // 4], known[len(known) // 4 :], np.flatnonzero(np.isnan(y))
-        own = [{int(i): y[i] for i in train} for _ in range(2)]
+        known = known[np.random.default_rng(seed).permutation(len(known))]
+        self.held, train = known[: len(known) // 4], known[len(known) // 4 :]
+        self.own = [{int(i): y[i] for i in train} for _ in range(2)]
         self.views = [View(True), View(False)]
-        dense = [text, meta]
-        fill = lambda side: self.views[side].fit(dense[side][(i := np.array(sorted(own[side])))], [words[j] for j in i], np.array([own[side][j] for j in i]))
-        for r in range(rounds + 1):
-            for side in range(2):
-                fill(side)
-            if r == rounds or not len(pool) or not len(held):
-                break
-            for side in range(2):
-                a = _platt(self._one(side, dense, words, held)[:, None], y[held])
-                p = _chance(self._one(side, dense, words, pool)[:, None], a)
-                for i in np.flatnonzero((p >= sure) | (p <= 1 - sure)):
-                    own[1 - side].setdefault(int(pool[i]), float(p[i] >= 0.5))
+        self.fit(dense, words, y)
+
+    def fit(self, dense: list[np.ndarray], words: list[np.ndarray], y: np.ndarray) -> None:
+        """Each view on its own rows, then calibrated on the held-out ones, then both together."""
+        for side in range(2):
+            i = np.array(sorted(self.own[side]))
+            self.views[side].fit(dense[side][i], [words[j] for j in i], np.array([self.own[side][j] for j in i]))
+        held = self.held
         z = np.column_stack([self._one(side, dense, words, held) for side in range(2)]) if len(held) else np.zeros((0, 2))
-        # each view is calibrated on the held-out labels, then both together
         self.calibrated = [_platt(z[:, [s]], y[held]) for s in range(2)] if len(held) else [np.array([1.0, 0.0])] * 2
         both = np.column_stack([z[:, [s]] * self.calibrated[s][0] + self.calibrated[s][1] for s in range(2)])
         self.joint = _platt(both, y[held]) if len(held) else np.array([1.0, 0.0, 0.0])
 
+    def sides(self, text: np.ndarray, meta: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+        """The calibrated chance by each view."""
+        return [_chance(v.score(d, words)[:, None], a) for v, d, a in zip(self.views, (text, meta), self.calibrated)]
+
     def _one(self, side: int, dense: list[np.ndarray], words: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
         return self.views[side].score(dense[side][rows], [words[i] for i in rows])
 
@@ -195,43 +194,120 @@ def _features(batch: pa.RecordBatch, only: np.ndarray | None = None) -> Iterator
             pairs = np.unique((np.searchsorted(bounds, at, side="right") - 1) * SLOTS + slot[at])
             cut = np.searchsorted(pairs, np.arange(count + 1) * SLOTS)
             words = [pairs[a:b] % SLOTS for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        yield i, np.diff(bounds), text, metadata(batch, slice(i, i + count), data, offsets), words
+        yield i, np.diff(bounds), text, metadata(batch, i, count), words
 
 
-def train(docs: DataFrame, labels: DataFrame, label_rows: int = 16_000, pool_rows: int = 8_000, rounds: int = 2, sure: float = 0.98, seed: int = 3) -> dict[str, Pair] | None:
-    """Co-train on at most ``label_rows`` labelled and ``pool_rows`` other documents,
-    the first by a hash of doc_id; both bounds are of the fit alone, every row is
-    scored. None if no label can be used.
+def _packed(words: list[np.ndarray]) -> list[bytes]:
+    """Slots as numbers or, where that is shorter, as bits: SLOTS / 8 bytes at most."""
+    out = []
+    for x in words:
+        if 4 * len(x) < SLOTS // 8:
+            out.append(x.astype(np.int32).tobytes())
+        else:
+            bits = np.zeros(SLOTS, dtype=bool)
+            bits[x] = True
+            out.append(np.packbits(bits).tobytes())
+    return out
 
-    ``labels`` needs doc_id, quality and toxic. A document with several labels is
-    bad if any says so; null labels teach nothing.
-    """
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    place = F.xxhash64("doc_id", F.lit(seed))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    known = ids.join(marks, "doc_id").where("quality is not null or toxic is not null").orderBy(place, "doc_id").limit(label_rows)
-    others = ids.join(marks, "doc_id", "left_anti").orderBy(place, "doc_id").limit(pool_rows)
-    chosen = known.unionByName(others, allowMissingColumns=True)
-    # at most label_rows + pool_rows ids of a few bytes: a bound of the parameters
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if len(data) < SLOTS // 8:
+        return np.frombuffer(data, dtype=np.int32)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8)))
+
+
+def _sample(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
+    """doc_id, text, meta and words of the chosen ids (unique, a bounded number), one
+    row an id: the least by its features. Combined by id before they reach the driver."""
+    sample = docs.join(F.broadcast(chosen.select("doc_id")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, _, text, meta, words in _features(batch):
-                part = batch.slice(i, len(words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("toxic"), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), pa.array([x.astype(np.int32).tobytes() for x in words], pa.binary())], names=["doc_id", "quality", "toxic", "text", "meta", "words"])
+                part = batch.column("doc_id").slice(i, len(words))
+                columns = [part, pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary()), pa.array(_packed(words), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "meta", "words"])
 
-    rows = sample.mapInArrow(run, "doc_id long, quality double, toxic double, text binary, meta binary, words binary").toPandas()
-    rows = rows.drop_duplicates(["doc_id", "words"]).sort_values(["doc_id", "words"], kind="stable")
-    text = np.array([np.frombuffer(x) for x in rows["text"]])
-    meta = np.array([np.frombuffer(x) for x in rows["meta"]])
-    words = [np.frombuffer(x, dtype=np.int32) for x in rows["words"]]
-    out = {}
-    for name, y in (("low", 1 - rows["quality"].to_numpy(float)), ("toxic", rows["toxic"].to_numpy(float))):
-        if len(set(y[~np.isnan(y)])) == 2:
-            out[name] = Pair(text, meta, words, y, rounds, sure, seed)
-    return out or None
+    rows = sample.mapInArrow(run, "doc_id long, text binary, meta binary, words binary")
+    return rows.groupBy("doc_id").agg(F.min(F.struct("text", "meta", "words")).alias("f")).select("doc_id", "f.*").collect()
+
+
+def _confident(docs: DataFrame, marks: DataFrame, made: dict[str, Pair], sure: float, rows_each: int, seed: int) -> list[tuple[int, list]]:
+    """What the views teach each other: for each label, view and class the first
+    ``rows_each`` documents by a hash of their id among ALL unlabelled ones that
+    the view is sure of. Returns (doc_id, [(label, view, class)])."""
+    only = np.unique(np.concatenate([p.views[0].chosen for p in made.values()]))
+    kinds = [(name, side, y) for name in made for side in range(2) for y in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, text, meta, words in _features(batch, only):
+                flags = np.zeros(len(words), dtype=np.int64)
+                chances = {name: pair.sides(text, meta, words) for name, pair in made.items()}
+                for k, (name, side, y) in enumerate(kinds):
+                    p = chances[name][side]
+                    flags |= (p >= sure if y else p <= 1 - sure).astype(np.int64) << k
+                some = np.flatnonzero(flags)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(i + some)), pa.array(flags[some])], names=["doc_id", "flags"])
+
+    pool = docs.where("doc_id is not null").join(marks.select("doc_id"), "doc_id", "left_anti")
+    sure_of = stored(pool.mapInArrow(run, "doc_id long, flags long"), "sure")
+    out: dict[int, list] = {}
+    for k, kind in enumerate(kinds):
+        first = sure_of.where(F.col("flags").bitwiseAND(F.lit(1 << k)) != 0).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows_each)
+        for r in first.collect():
+            out.setdefault(r["doc_id"], []).append(kind)
+    return sorted(out.items())
+
+
+def train(docs: DataFrame, labels: DataFrame, label_rows: int = 16_000, taught_rows: int = 1_000, rounds: int = 2, sure: float = 0.98, seed: int = 3) -> dict[str, Pair] | None:
+    """Co-train; None if no label can be used.
+
+    The fit uses at most ``label_rows`` labelled documents, the first by a hash
+    of doc_id, and in each round at most ``taught_rows`` pseudo-labelled ones of
+    each label, view and class, drawn from all documents that the view is sure
+    of. These bounds are of labelled rows alone: every unlabelled document is
+    judged in every round. A row that reaches the driver takes 32 KB at most.
+
+    ``labels`` needs doc_id, quality and toxic. A document with several labels is
+    bad if any says so; null labels teach nothing. Rows repeated under one id
+    teach once.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
+    marks = stored(marks.where("quality is not null or toxic is not null").withColumn("doc_id", F.col("doc_id").cast("long")), "marks")
+    ids = docs.select("doc_id").where("doc_id is not null")
+    known = marks.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(label_rows)
+    known = stored(known, "known")
+    mark = {r["doc_id"]: r for r in known.collect()}
+
+    def read_rows(chosen: DataFrame) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        rows = sorted(_sample(docs, chosen), key=lambda r: r["doc_id"])
+        widths = (0, LANGS + SOURCES + 2)
+        dense = [np.array([np.frombuffer(r[c]) for r in rows]).reshape(len(rows), -1 if rows else w) for c, w in zip(("text", "meta"), widths)]
+        return [r["doc_id"] for r in rows], dense, [_unpacked(r["words"]) for r in rows]
+
+    names, dense, words = read_rows(known)
+    truth = {"low": [1 - mark[d]["quality"] if mark[d]["quality"] is not None else np.nan for d in names], "toxic": [mark[d]["toxic"] if mark[d]["toxic"] is not None else np.nan for d in names]}
+    truth = {k: np.array(y, dtype=np.float64) for k, y in truth.items()}
+    made = {k: Pair(dense, words, y, seed) for k, y in truth.items() if len(set(y[~np.isnan(y)])) == 2}
+    if not made:
+        return None
+    at = {d: i for i, d in enumerate(names)}
+    for _ in range(rounds):
+        taught = _confident(docs, marks, made, sure, taught_rows, seed)
+        fresh = [(d,) for d, _ in taught if d not in at]
+        if fresh:
+            more, inner, found = read_rows(docs.sparkSession.createDataFrame(fresh, "doc_id long"))
+            at |= {d: len(at) + i for i, d in enumerate(more)}
+            dense = [np.concatenate((x, y)) for x, y in zip(dense, inner)]
+            words = words + found
+        for d, kinds in taught:
+            for name, side, y in kinds:
+                made[name].own[1 - side].setdefault(at[d], float(y))
+        for name, pair in made.items():
+            pair.fit(dense, words, truth[name])
+    return made
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, limit: float = 0.5, **options) -> DataFrame:
@@ -240,10 +316,10 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     ``docs`` needs doc_id, text, lang, source and n_chars; other columns pass
     through, unless they bear a name of the result. Every row is scored on its
-    whole text; null, empty and white texts are scored as empty. Nulls in lang,
-    source and n_chars are values of their own. Repeated rows score alike. A
-    label without examples of both kinds is not learned, its chance is 0 and it
-    rejects nothing.
+    whole text, however long; null, empty and white texts are scored as empty.
+    Nulls in lang, source and n_chars are values of their own. Repeated rows
+    score alike. An empty table gives no row. A label without examples of both
+    kinds is not learned, its chance is 0 and it rejects nothing.
     """
     made = train(docs, labels, **options) or {}
     names = [x.split()[0] for x in SCORES.split(", ")]
