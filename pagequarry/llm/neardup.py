@@ -4,21 +4,29 @@ A document is its set of word shingles. Documents with equal sets are one
 class. Every class is put in one node of each of several independent trees, by
 the minwise token at the tree's root position; a node above the leaf limit is
 branched, its members going to one child for each of two positions that the
-node's own hash chooses, by their tokens there. What is still too large at the
-last level is cut into blocks, and each pair of blocks becomes a leaf, so no
-partner is capped. In a leaf, classes whose token vectors agree in too few
-places for the threshold are set apart; what remains is compared exhaustively
-on full sets. Inside a leaf a class that is already connected needs no further
-comparison with its component, so links come out as stars and their number is
-linear in the members. Components of all links are found by contraction.
-
-A pair at the threshold t shares the token of a root position with chance t, so
-the default ten trees miss a link with chance (1-t)**10 each: 6e-9 at 0.85 and
-1e-7 at 0.8, before branching.
+node's own hash chooses among those that the tree keeps for the level, by their
+tokens there. In a leaf, classes whose token vectors agree in too few places for
+the threshold are set apart; what remains is compared exhaustively on full sets.
+Inside a leaf a class that is already connected needs no further comparison with
+its component, so links come out as stars and their number is linear in the
+members. Components of all links are found by contraction.
+
+Large families of near copies stand together in every tree and no branch parts
+them. So members of root nodes above the leaf limit are first compared, in
+blocks, with a centre of their node. What that connects is a family; a node of
+one family needs nothing more, and elsewhere members of a family are not compared
+with each other. What is still too large, at the last level or beside a family, is
+cut into blocks and each pair of blocks, but two of one family, is a leaf: no
+partner is capped.
+
+A pair at the threshold t survives a tree with the chance t * (1 - (1 - t)**2)**3
+of its root and three levels. ``design`` chooses the number of trees and the least
+agreement of tokens so that a link is missed with a chance of at most 1e-6.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +37,26 @@ from pyspark.sql import functions as F
 from .common import fixed_width, grouped, hash_words, mix64, read, stored, text_chunks
 
 POSITIONS = 24
-TREES = 10
 LEVELS = 3
-LEAF_DOCS = 4000
-LEAF_SHINGLES = 4_000_000
-_SEEDS = mix64(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-#: Token vectors of a linked pair agree in fewer places with a chance below 1e-6.
-AGREE = {0.85: 10, 0.8: 8}
+LEAF_DOCS = 1000
+LEAF_SHINGLES = 2_000_000
+
+
+def design(percent: int, miss: float = 1e-6) -> tuple[int, int, int]:
+    """(trees, positions, least agreement) for links at ``percent``: the trees and the
+    pre-filter each lose a pair at the threshold with a chance of at most ``miss / 2``."""
+    if not 30 <= percent <= 100:
+        raise ValueError("percent must be from 30 to 100: below, trees would be too many")
+    t = percent / 100
+    survive = t * (1 - (1 - t) ** 2) ** LEVELS
+    trees = 1 if survive >= 1 else math.ceil(math.log(miss / 2) / math.log1p(-survive))
+    positions, least, below = max(POSITIONS, trees), 0, 0.0
+    while least < positions:
+        below += math.comb(positions, least) * t**least * (1 - t) ** (positions - least)
+        if below > miss / 2:
+            break
+        least += 1
+    return trees, positions, least
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -60,12 +81,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield runs[:0]
 
 
-def _tokens(sets: list[np.ndarray]) -> np.ndarray:
+def _tokens(sets: list[np.ndarray], positions: int) -> np.ndarray:
     """The minwise tokens of each set, none of them empty: at every position the
     smallest keyed hash of its members."""
     first = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
-    every, out = np.concatenate(sets), np.empty((len(sets), POSITIONS), dtype=np.uint64)
-    for i, seed in enumerate(_SEEDS):
+    every, out = np.concatenate(sets), np.empty((len(sets), positions), dtype=np.uint64)
+    for i, seed in enumerate(mix64(np.arange(1, positions + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))):
         x = (every ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +94,12 @@ def _tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _describe(docs: DataFrame, k: int) -> DataFrame:
+def _short(tokens: np.ndarray) -> list[bytes]:
+    """32 bits of each token, which is enough to see where vectors agree."""
+    return [t.tobytes() for t in (tokens >> np.uint64(16)).astype(np.uint32)]
+
+
+def _describe(docs: DataFrame, k: int, positions: int) -> DataFrame:
     """doc_id, n, a digest of the set in two longs, and its tokens (64 bits each, as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,95 +114,160 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                     every, first = np.concatenate(full), np.concatenate(([0], np.cumsum(n[some])[:-1]))
                     lo[some] = np.add.reduceat(mix64(every), first)
                     hi[some] = np.add.reduceat(mix64(every ^ np.uint64(0x5851F42D4C957F2D)), first)
-                    for j, t in zip(some.tolist(), _tokens(full)):
+                    for j, t in zip(some.tolist(), _tokens(full, positions)):
                         sig[j] = t.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n", "lo", "hi", "sig"])
+                columns = [batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "lo", "hi", "sig"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, lo long, hi long, sig binary")
 
 
+MEMBERS = "node long, rep long, n long, family long, tree long"
+
+
 def _node(parts: np.ndarray, tree: np.ndarray | int, token: np.ndarray) -> np.ndarray:
     return mix64(parts ^ mix64(token + np.uint64(1) * np.asarray(tree, dtype=np.uint64))).view(np.int64)
 
 
-def _roots(classes: DataFrame, trees: int) -> DataFrame:
+def _members(b: pa.RecordBatch, node: np.ndarray, at: np.ndarray, tree: np.ndarray) -> pa.RecordBatch:
+    rows = pa.array(at)
+    columns = [pa.array(node), b.column("rep").take(rows), b.column("n").take(rows), b.column("family").take(rows), pa.array(tree.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "rep", "n", "family", "tree"])
+
+
+def _roots(names: DataFrame, trees: int, positions: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, POSITIONS)
-            at = np.repeat(np.arange(len(sig)), trees)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, positions)
             t = np.tile(np.arange(1, trees + 1, dtype=np.uint64), len(sig))
             node = _node(mix64(t), t, sig[:, :trees].reshape(-1))
-            yield pa.RecordBatch.from_arrays([pa.array(node), b.column("rep").take(pa.array(at)), b.column("n").take(pa.array(at))], names=["node", "rep", "n"])
+            yield _members(b, node, np.repeat(np.arange(len(sig)), trees), t - np.uint64(1))
 
-    return classes.select("rep", "n", "sig").mapInArrow(run, "node long, rep long, n long")
+    return names.select("rep", "n", "family", "sig").mapInArrow(run, MEMBERS)
 
 
-def _children(large: DataFrame) -> DataFrame:
-    """Members of large nodes, in the children at two positions that the node's hash chooses."""
+def _children(large: DataFrame, level: int, positions: int) -> DataFrame:
+    """Members of large nodes, in the children at two positions that the node's hash
+    chooses. Each level of a tree has positions of its own, so none is spent twice."""
+    pool = np.uint64((positions - 1) // LEVELS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, POSITIONS)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, positions)
             node = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+            tree = b.column("tree").to_numpy(zero_copy_only=False).astype(np.uint64)
             rows, out = np.arange(len(sig)), []
-            first = mix64(node) % np.uint64(POSITIONS)
-            second = (first + np.uint64(1) + mix64(node + np.uint64(7)) % np.uint64(POSITIONS - 1)) % np.uint64(POSITIONS)
-            for pos in (first, second):
-                out.append(_node(mix64(node), pos + np.uint64(100), sig[rows, pos.astype(np.int64)]))
-            both = pa.array(np.tile(rows, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), b.column("rep").take(both), b.column("n").take(both)], names=["node", "rep", "n"])
-
-    return large.mapInArrow(run, "node long, rep long, n long")
-
-
-def _leaves(classes: DataFrame, trees: int, leaf_docs: int, leaf_shingles: int) -> DataFrame:
-    """(node, rep) with every node of two or more members, none above the leaf limits."""
-    kept, rows = [], stored(_roots(classes, trees), "nodes")
+            first = mix64(node) % pool
+            second = (first + np.uint64(1) + mix64(node + np.uint64(7)) % (pool - np.uint64(1))) % pool
+            for pick in (first, second):
+                pos = (tree + np.uint64(1) + np.uint64(level) * pool + pick) % np.uint64(positions)
+                out.append(_node(mix64(node), pos + np.uint64(1000), sig[rows, pos.astype(np.int64)]))
+            yield _members(b, np.concatenate(out), np.tile(rows, 2), np.tile(tree, 2))
+
+    return large.mapInArrow(run, MEMBERS)
+
+
+def _blocks(members: DataFrame, leaf_docs: int, leaf_shingles: int) -> DataFrame:
+    """(node, rep, family) of large nodes in blocks, each pair of blocks a leaf but
+    for two blocks of one family. A family of less than half a leaf has no blocks
+    of its own."""
+    kinds = members.groupBy("node", "family").agg(F.count("*").alias("c"))
+    own = kinds.where(F.col("c") * 2 > leaf_docs).select("node", "family", F.col("family").cast("string").alias("kind"))
+    rows = members.join(own, ["node", "family"], "left").withColumn("kind", F.coalesce("kind", F.lit("rest")))
+    rows = stored(rows, "kinds")
+    sizes = rows.groupBy("node", "kind").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    sizes = sizes.select("node", "kind", F.greatest(F.ceil(F.col("c") * 2 / leaf_docs), F.ceil(F.col("w") * 2 / leaf_shingles)).alias("parts"))
+    listed = sizes.groupBy("node").agg(F.collect_list(F.struct("kind", "parts")).alias("kinds"))
+    rows = rows.join(sizes, ["node", "kind"]).join(listed, "node")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode("kinds"))
+    rows = rows.where((F.col("kind") == "rest") | (F.col("kind") != F.col("other.kind")))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other.parts") - 1)))
+    this, that = F.struct("kind", "b"), F.struct(F.col("other.kind").alias("kind"), F.col("o").alias("b"))
+    return rows.select(F.xxhash64("node", F.least(this, that), F.greatest(this, that)).alias("node"), "rep", "family")
+
+
+def _leaves(names: DataFrame, trees: int, positions: int, leaf_docs: int, leaf_shingles: int) -> DataFrame:
+    """(node, rep, family) of every node with members of two or more families, none
+    above the leaf limits but by a single long document."""
+    kept, rows = [], stored(_roots(names, trees, positions), "nodes")
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("w")).where("c > 1")
-        sizes = stored(sizes, "sizes")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("family").alias("lo"), F.max("family").alias("hi"))
+        sizes = stored(sizes.where("c > 1 and lo <> hi").drop("lo", "hi"), "sizes")
         small = (F.col("c") <= leaf_docs) & (F.col("w") <= leaf_shingles)
-        kept.append(rows.join(sizes.where(small).select("node"), "node").select("node", "rep"))
+        kept.append(rows.join(sizes.where(small).select("node"), "node").select("node", "rep", "family"))
         large = sizes.where(~small)
         if large.isEmpty():
             break
-        if level < LEVELS:
-            members = rows.join(large.select("node"), "node").select("node", "rep").join(classes.select("rep", "n", "sig"), "rep")
-            rows = stored(_children(members), "nodes")
-            continue
-        # the rest in blocks, and each pair of blocks a leaf
-        parts = F.greatest(F.ceil(F.col("c") * 2 / leaf_docs), F.ceil(F.col("w") * 2 / leaf_shingles))
-        cut = rows.join(large.select("node", parts.alias("parts")), "node").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        cut = cut.select("node", "rep", "b", other.alias("o"))
-        kept.append(cut.select(F.xxhash64("node", F.least("b", "o"), F.greatest("b", "o")).alias("node"), "rep"))
+        members = stored(rows.join(large.select("node"), "node"), "members")
+        shape = members.groupBy("node", "family").agg(F.count("*").alias("c")).groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest"))
+        beside = F.lit(True) if level == LEVELS else F.col("rest") * 2 <= leaf_docs
+        shape = stored(shape.select("node", beside.alias("flat")), "shape")
+        kept.append(_blocks(members.join(shape.where("flat").select("node"), "node"), leaf_docs, leaf_shingles))
+        if level == LEVELS:
+            break
+        deep = members.join(shape.where("not flat").select("node"), "node").join(names.select("rep", "sig"), "rep")
+        rows = stored(_children(deep, level, positions), "nodes")
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _agreeing(rows: pa.RecordBatch, first: np.ndarray, least: int) -> pa.RecordBatch:
+def _families(names: DataFrame, trees: int, positions: int, leaf_docs: int, leaf_shingles: int) -> DataFrame | None:
+    """(node, rep, family) of leaves that compare the members of large root nodes with
+    a centre of theirs, block by block; None if no root node is large. Centres are
+    least by one order of all classes, so trees mostly agree on them."""
+    rows = stored(_roots(names, trees, positions), "roots")
+    large = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("least"))
+    large = stored(large.where((F.col("c") > leaf_docs) | (F.col("w") > leaf_shingles)).select("node", F.col("least.rep").alias("centre")), "large")
+    if large.isEmpty():
+        return None
+    pairs = stored(rows.join(large, "node").where("rep <> centre").select("centre", "rep", "n").distinct(), "pairs")
+    sizes = pairs.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") * 2 / leaf_docs), F.ceil(F.sum("n") * 2 / leaf_shingles)).alias("parts"))
+    cut = pairs.join(sizes, "centre").select(F.xxhash64("centre", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("node"), "centre", "rep")
+    centres = cut.select("node", F.col("centre").alias("rep")).distinct()
+    return cut.select("node", "rep").unionByName(centres).withColumn("family", F.col("rep"))
+
+
+def _beside(sig: np.ndarray, family: np.ndarray, least: int) -> np.ndarray:
+    """Members of a group that agree with one of another family, so that a large
+    family brings only those that something may link to."""
+    names, at, count = np.unique(family, return_inverse=True, return_counts=True)
+    if len(names) == 1:
+        return np.zeros(len(family), dtype=bool)
+    big = at == np.argmax(count)
+    keep = ~big
+    if len(family) > 8:
+        for one in sig[~big]:
+            keep[big] |= (sig[big] == one).sum(axis=1) >= least
+    else:
+        keep[:] = True
+    return keep
+
+
+def _agreeing(rows: pa.RecordBatch, first: np.ndarray, least: int, positions: int) -> pa.RecordBatch:
     """Splits each leaf into groups whose members' token vectors agree in ``least``
     places with some other member's, and drops members without a partner. A
     group is named by its members, so equal groups of several trees meet."""
-    sig, rep = fixed_width(rows.column("sig"), np.uint64, POSITIONS), rows.column("rep").to_numpy(zero_copy_only=False)
+    sig, rep = fixed_width(rows.column("short"), np.uint32, positions), rows.column("rep").to_numpy(zero_copy_only=False)
+    family = rows.column("family").to_numpy(zero_copy_only=False)
     sizes = np.diff(first)
     group = np.full(len(rep), -1)
     pairs = first[:-1][sizes == 2]
-    near = pairs[(sig[pairs] == sig[pairs + 1]).sum(axis=1) >= least]
+    near = pairs[((sig[pairs] == sig[pairs + 1]).sum(axis=1) >= least) & (family[pairs] != family[pairs + 1])]
     group[near] = group[near + 1] = np.arange(len(near))
     made = len(near)
     for lo, hi in zip(first[:-1][sizes > 2].tolist(), first[1:][sizes > 2].tolist()):
         todo = np.arange(lo, hi)
         while len(todo):
-            front, todo = [todo[0]], todo[1:]
-            group[front[0]] = made
+            whole, front, todo = [todo[:1]], [todo[0]], todo[1:]
             while front and len(todo):
                 close = (sig[todo] == sig[front.pop()]).sum(axis=1) >= least
                 front += todo[close].tolist()
-                group[todo[close]] = made
+                whole.append(todo[close])
                 todo = todo[~close]
+            at = np.concatenate(whole)
+            group[at[_beside(sig[at], family[at], least)]] = made
             made += 1
     rep, group = rep[group >= 0], group[group >= 0]
     keep = np.bincount(group, minlength=made)[group] > 1
@@ -238,34 +329,32 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, leaf_docs: int = LEAF_DOCS, leaf_shingles: int = LEAF_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of ``docs``.
 
     Two documents are linked if their sets of ``words``-word shingles (the whole
     text as one, if shorter) have 100 * intersection >= percent * union; every
-    link is confirmed on full sets. component_id is the smallest doc_id
-    reachable. Null, empty and white texts have no shingles and no link. Rows
-    without doc_id have no link, a null component_id, and are kept. Repeated
-    rows stay, with one component. ``docs`` needs doc_id and text; other
-    columns are ignored. No text is cut, no group capped.
+    link is confirmed on full sets, and one at the threshold is missed with a
+    chance of at most ``miss``. component_id is the smallest doc_id reachable.
+    Null, empty and white texts have no shingles and no link. Rows without
+    doc_id have no link, a null component_id, and are kept. Repeated rows stay,
+    with one component. An empty table gives no row. ``docs`` needs doc_id and
+    text; other columns are ignored. No text is cut, no group capped.
     """
-    described = stored(_describe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "described")
+    trees, positions, least = design(percent, miss)
+    described = stored(_describe(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, positions), "described")
     full = described.where("n > 0 and doc_id is not null")
     classes = stored(full.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     # one document may stand, repeated under its id, for several sets: name classes by digest as well
-    least = AGREE[min(AGREE, key=lambda t: abs(t * 100 - percent))]
     single = classes.groupBy("rep").agg(F.min(F.struct("lo", "hi", "n", "sig")).alias("s")).select("rep", "s.*")
     several = classes.join(single.select("rep", "lo", "hi", "n"), ["rep", "lo", "hi", "n"], "left_anti")
     names = single if several.isEmpty() else single.unionByName(several.select(F.xxhash64("lo", "hi").alias("rep"), "lo", "hi", "n", "sig"))
-    names = stored(names, "names")
+    names = stored(names.withColumn("family", F.col("rep")), "names")
 
-    leaves = _leaves(names, trees, leaf_docs, leaf_shingles)
-    known = leaves.join(names.select("rep", "sig"), "rep")
-    groups = grouped(known.select("node", "rep", "sig"), "node", lambda rows, first: _agreeing(rows, first, least), "leaf long, rep long")
-    groups = stored(groups.distinct(), "groups")
-
-    needed = groups.select("rep").distinct().join(names, "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(full.join(needed.select("rep", "lo", "hi", "n"), ["lo", "hi", "n"]).groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("lo").alias("lo")), "doc_id")
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype=np.uint64).reshape(-1, positions)
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(_short(sig), pa.binary())], names=["rep", "short"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,12 +362,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             for i, data, offsets in text_chunks(batch.column("text")):
                 made = list(shingle_sets(data, offsets, words))
                 good = [j for j, s in enumerate(made) if len(s) and int(mix64(s).sum(dtype=np.uint64).view(np.int64)) == wanted[i + j]]
-                yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array([i + j for j in good], pa.int64())), pa.array([t.tobytes() for t in _tokens([made[j] for j in good])] if good else [], pa.binary()), pa.array([made[j].tobytes() for j in good], pa.binary())], names=["rep", "sig", "shingles"])
-
-    sets = texts.select("rep", "lo", "text").mapInArrow(sets_of, "rep long, sig binary, shingles binary")
+                rep = batch.column("rep").take(pa.array([i + j for j in good], pa.int64()))
+                short = _short(_tokens([made[j] for j in good], positions)) if good else []
+                yield pa.RecordBatch.from_arrays([rep, pa.array(short, pa.binary()), pa.array([made[j].tobytes() for j in good], pa.binary())], names=["rep", "sig", "shingles"])
 
     def link(rows: pa.RecordBatch, first: np.ndarray) -> pa.RecordBatch:
-        sig, rep = fixed_width(rows.column("sig"), np.uint64, POSITIONS), rows.column("rep").to_numpy(zero_copy_only=False)
+        sig, rep = fixed_width(rows.column("sig"), np.uint32, positions), rows.column("rep").to_numpy(zero_copy_only=False)
         shingles, left, right = rows.column("shingles"), [], []
         for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
             by = lo + np.unique(rep[lo:hi], return_index=True)[1]
@@ -287,8 +376,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             right.append(b)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    edges = grouped(groups.join(sets, "rep").select("leaf", "rep", "sig", "shingles"), "leaf", link, "a long, b long")
-    roots = components(edges)
+    tokens = names.select("rep", "sig").mapInArrow(shorten, "rep long, short binary")
+
+    def links(leaves: DataFrame) -> DataFrame:
+        known = leaves.join(tokens, "rep").select("node", "rep", "family", "short")
+        groups = grouped(known, "node", lambda rows, first: _agreeing(rows, first, least, positions), "leaf long, rep long")
+        groups = stored(groups.distinct(), "groups")
+        needed = groups.select("rep").distinct().join(names, "rep")
+        holders = full.join(needed.select("rep", "lo", "hi", "n"), ["lo", "hi", "n"]).groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("lo").alias("lo"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id")
+        sets = texts.select("rep", "lo", "text").mapInArrow(sets_of, "rep long, sig binary, shingles binary")
+        return grouped(groups.join(sets, "rep").select("leaf", "rep", "sig", "shingles"), "leaf", link, "a long, b long")
+
+    edges = None
+    opening = _families(names, trees, positions, leaf_docs, leaf_shingles)
+    if opening is not None:
+        edges = stored(links(opening).distinct(), "family_links")
+        family = components(edges).select(F.col("id").alias("rep"), F.col("root").alias("r"))
+        names = stored(names.join(family, "rep", "left").withColumn("family", F.coalesce("r", "rep")).drop("r"), "names")
+    found = links(_leaves(names, trees, positions, leaf_docs, leaf_shingles))
+    roots = components(found if edges is None else found.unionByName(edges))
     # a class is named by its smallest doc_id, and so is a component
     small = classes.select("lo", "hi", "n", F.col("rep").alias("least"))
     labelled = names.select("rep", "lo", "hi", "n").join(small, ["lo", "hi", "n"]).join(roots, F.col("rep") == F.col("id"), "left").withColumn("root", F.coalesce("root", "rep"))
