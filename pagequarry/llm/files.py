@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.fs as pafs
 from pyspark import TaskContext
@@ -32,15 +33,18 @@ def start(uri: str) -> None:
 
 
 def commit(uri: str, files: Iterable[dict], extra: dict) -> dict:
-    """Rename each file's ``tmp`` to its ``name`` and write the manifest."""
+    """Rename each file's ``tmp`` to its ``name``, many at a time, and write the
+    manifest. A file that an interrupted commit renamed already is left alone."""
     fs, path = opened(uri)
-    listed = []
-    for f in sorted(files, key=lambda f: f["name"]):
-        f = dict(f)
-        tmp = f"{path}/{f.pop('tmp')}"
+
+    def rename(f: dict) -> dict:
+        tmp = f"{path}/{f['tmp']}"
         if fs.get_file_info(tmp).type != pafs.FileType.NotFound:
             fs.move(tmp, f"{path}/{f['name']}")
-        listed.append(f)
+        return {k: v for k, v in f.items() if k != "tmp"}
+
+    with ThreadPoolExecutor(64) as pool:
+        listed = list(pool.map(rename, sorted(files, key=lambda f: f["name"])))
     made = {**extra, "files": listed}
     with fs.open_output_stream(f"{path}/_tmp/{MANIFEST}") as out:
         out.write(json.dumps(made, sort_keys=True).encode())

@@ -29,12 +29,17 @@ from .files import commit, manifest, opened, start, temporary
 READ_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
-def even_ranges(df: DataFrame, key: str, weight: str, target: int) -> list[int]:
+def even_ranges(df: DataFrame, key: str, weight: str, target: int, most: int = 1 << 16) -> tuple[list[int], list[int]]:
     """Lower bounds of ranges of ``key`` (long, not null), each of about ``target``
-    weight; a single value is never split. The same data give the same bounds."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
+    weight or, where that would make more than ``most`` ranges, of the whole over
+    ``most``; and for each, into how many parts a hash must cut it, which is above 1
+    only for a single value that is heavier. The same data give the same bounds. A
+    histogram is refined where it is heavy; of each level at most 8 * ``most`` cells
+    reach the driver, or 4,096 of the first."""
+    low, high, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     if low is None:
-        return []
+        return [], []
+    target = max(target, -(-int(total) // most))
     shift = max(0, (high - low).bit_length() - 12)
     place = F.col(key).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
     cell = lambda s: F.floor(place / F.lit(1 << s).cast("decimal(20,0)")).cast("long")
@@ -42,21 +47,22 @@ def even_ranges(df: DataFrame, key: str, weight: str, target: int) -> list[int]:
     out = {c << shift: w for c, w in cells.items()}
     heavy = [c for c, w in cells.items() if w > target]
     while heavy and shift:
-        finer = max(0, shift - 6)
-        wanted = df.sparkSession.createDataFrame([(c,) for c in heavy], "p long")
+        finer = max(0, shift - 3)
+        wanted = df.sparkSession.createDataFrame([(c,) for c in heavy], "p long")  # at most ``most`` numbers
         inner = df.withColumn("p", cell(shift)).join(F.broadcast(wanted), "p", "left_semi")
         cells = {int(r[0]): int(r[1]) for r in inner.groupBy(cell(finer).alias("c")).agg(F.sum(weight)).collect()}
         for c in heavy:
             out.pop(c << shift, None)
         out |= {c << finer: w for c, w in cells.items()}
         heavy, shift = [c for c, w in cells.items() if w > target], finer
-    bounds, full = [], target
+    bounds, parts, full = [], [], target
     for at in sorted(out):
         if full + out[at] > target:
             bounds.append(at + low)
+            parts.append(max(1, -(-out[at] // target)))
             full = 0
         full += out[at]
-    return bounds
+    return bounds, parts
 
 
 def _clean(value: str) -> str:
@@ -96,8 +102,10 @@ def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int
     responses and the others revisits of it; rows repeated under that page_id
     are responses all. Rows without page_id come first; they are revisits if a
     page with an id holds their payload. A null url has no target header;
-    control characters in a url are percent-encoded. An empty table gives a
-    manifest without files.
+    control characters in a url are percent-encoded. Rows without an id, and one
+    id that fills more than a range, are cut by a hash of url and payload; rows
+    repeated whole share a file. A payload is written whole, however long. An
+    empty table gives a manifest without files.
     """
     spark = pages.sparkSession
     uri = uri or f"{shared_dir(spark)}/warc"
@@ -106,10 +114,19 @@ def write_archives(pages: DataFrame, uri: str | None = None, revisit_bytes: int
     keyed = base.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload").cast("long")})
     equal = keyed.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("c")).where("c > 1").drop("c")
     rows = keyed.join(stored(equal, "equal"), ["digest", "size"], "left")
-    bounds = np.array(even_ranges(keyed.where("page_id is not null").select("page_id", (F.col("size") + 600).alias("w")), "page_id", "w", range_bytes), dtype=np.int64)
-    part = F.pandas_udf(lambda p: pd.Series(np.where(p.isna(), 0, np.searchsorted(bounds, p.fillna(0).to_numpy(np.int64), side="right"))), "long")("page_id")
-    rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"), part.alias("range"))
-    rows = rows.repartitionById(len(bounds) + 1, F.col("range").cast("int")).sortWithinPartitions("range", "page_id", "url", "payload")
+    weighed = keyed.select("page_id", (F.col("size") + 600).alias("w"))
+    nameless = weighed.where("page_id is null").agg(F.sum("w")).first()[0] or 0
+    bounds, parts = even_ranges(weighed.where("page_id is not null"), "page_id", "w", range_bytes)
+    bounds, parts = np.array(bounds, dtype=np.int64), np.array([max(1, min(1 << 16, -(-int(nameless) // range_bytes))), *parts], dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(parts)))
+
+    def place(page: pd.Series, spread: pd.Series) -> pd.Series:
+        at = np.where(page.isna(), 0, np.searchsorted(bounds, page.fillna(0).to_numpy(np.int64), side="right"))
+        return pd.Series(first[at] + spread.to_numpy(np.int64) % parts[at])
+
+    spread = F.pmod(F.xxhash64("url", "digest"), F.lit(1 << 62))
+    rows = rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("keeper"), F.pandas_udf(place, "long")("page_id", spread).alias("range"))
+    rows = rows.repartitionById(int(first[-1]), F.col("range").cast("int")).sortWithinPartitions("range", "page_id", "url", "payload")
     start(uri)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
