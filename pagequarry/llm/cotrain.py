@@ -66,9 +66,10 @@ def metadata(batch: pa.RecordBatch, first: int, count: int) -> np.ndarray:
     out = np.zeros((count, LANGS + SOURCES + 2))
     for name, width, base in (("lang", LANGS, 0), ("source", SOURCES, LANGS)):
         coded = batch.column(name).slice(first, count).dictionary_encode()
-        values = [(b"-" if v is None else b"+" + v.encode()) for v in [*coded.dictionary.to_pylist(), None]]
-        slots = np.array([int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little") % width for v in values])
-        at = coded.indices.fill_null(len(values) - 1).to_numpy(zero_copy_only=False)
+        values = [v.encode() for v in coded.dictionary.to_pylist()]
+        # the first place is that of null
+        slots = np.array([1 + int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little") % (width - 1) for v in values] + [0])
+        at = coded.indices.fill_null(len(values)).to_numpy(zero_copy_only=False)
         out[np.arange(count), base + slots[at]] = 1
     declared = batch.column("n_chars").slice(first, count).to_pylist()
     out[:, -2] = [np.log1p(max(0, v or 0)) for v in declared]

@@ -76,9 +76,42 @@ def test_grouped_keeps_groups_whole(spark):
     assert sorted(r.k for r in got) == list(range(7)) and sum(r.n for r in got) == 5000
 
 
+def test_running_start_on_hot_keys(spark):
+    rows = [(0, None, i) for i in range(300)] + [(0, 5, 7)] * 250 + [(1, i, 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "g int, id long, v long").repartition(3)
+    base = common.stored(common.collapsed(df).withColumn("place", common.hash52(F.col("id"))), "hot")
+    got = common.running_start(base, "g", ["place", "id", "v"], F.col("v"), "s", rows_per_part=20, chunk=40)
+    by = got.toPandas().sort_values(["g", "s", "v"], kind="stable")
+    assert len(by) == len(rows) and sorted(by[by.id == 5]["copy"]) == list(range(250))
+    for _, g in by.groupby("g"):
+        assert g.s.tolist() == [0, *np.cumsum(g.v)[:-1]]
+    spread = common.stored(base.repartitionByRange(8, "g", "place", "id", "v").withColumn("p", F.spark_partition_id()), "p").groupBy("p").count().toPandas()["count"]
+    assert spread.max() <= 2 * spread.median()
+
+
+def test_numbered_hot_keys(spark):
+    rows = [("a", 1, i) for i in range(500)] + [("b", i % 30, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, j long, v long").repartition(6)
+    hot = df.groupBy("k", "j").count().where("count > 40")
+    for chunk, some in ((40, hot), (1000, hot.where("false"))):
+        got = common.numbered(df, ["k", "j"], some, "n", chunk).toPandas()
+        assert len(got) == 600 and sorted(got.v) == sorted(r[2] for r in rows)
+        assert all(sorted(g.n) == list(range(len(g))) for _, g in got.groupby(["k", "j"]))
+
+
 # ------------------------------------------------------------------------ mixing
 
 
+def test_mix_of_null_ids_and_one_long_document(spark):
+    rows = [(None, f"w{i % 40} b c", "s1", "x") for i in range(400)] + [(None, None, "s1", "x")] * 200 + [(1, "long " * 5000, "s2", "x"), (2, "a b", "s2", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n string").repartition(5)
+    plan, again = (sorted(map(tuple, mixing.mix_plan(df).select("doc_id", "tie", "copy", "taken").collect()), key=str) for _ in range(2))
+    assert plan == again and len(plan) == len(rows)
+    whole, pieces = (sorted(map(tuple, mixing.mix(df, chunk=c).collect()), key=str) for c in (3, 10_000))
+    assert whole == pieces and {r[2] for r in whole} == {"s1", "s2"} and {r[3] for r in whole} >= {"x"}
+    assert all(r[1] for r in whole)
+
+
 def test_mix(spark, data, odd, none):
     got = QUERIES["op1_mix"](spark, data).toPandas()
     src = spark.read.parquet(f"{data}/documents.parquet").toPandas()
@@ -155,6 +188,44 @@ def test_neardup_against_all_pairs(spark, options):
         assert got[d].kept == (d == want[i][1])
 
 
+def test_design_of_trees():
+    assert neardup.design(85) == (10, 24, 10) and neardup.design(80)[2] == 8 and neardup.design(100)[0] == 1
+    for percent in range(30, 101, 5):
+        trees, positions, least = neardup.design(percent)
+        t = percent / 100
+        assert (1 - t * (1 - (1 - t) ** 2) ** 3) ** trees <= 5e-7 and trees <= positions
+        assert sum(neardup.math.comb(positions, i) * t**i * (1 - t) ** (positions - i) for i in range(least)) <= 5e-7
+    with pytest.raises(ValueError):
+        neardup.design(20)
+
+
+@pytest.mark.parametrize("percent", [40, 50])
+def test_neardup_at_low_thresholds(spark, percent):
+    docs = near_copies(9)
+    docs = [(i, " ".join(t.split()[: 40 + i % 30])) for i, t in docs]
+    want = plain_components(docs, 2, percent)
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2, percent, leaf_docs=8).collect()}
+    assert all((got[d].n_shingles, got[d].component_id) == want[i] for i, (d, _) in enumerate(docs))
+
+
+def test_neardup_large_family(spark):
+    """A family far above the leaf limit, rows at its edge, and others that share its root tokens."""
+    rng = random.Random(6)
+    base = [f"f{i}" for i in range(150)]
+    docs = []
+    for k in range(260):
+        t = list(base)
+        for _ in range(k % 7):
+            t[rng.randrange(150)] = f"x{k}"
+        docs.append(" ".join(t))
+    docs += [" ".join(base[: 60 + k % 90] + [f"y{k}_{j}" for j in range(40)]) for k in range(60)]
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = plain_components(docs, 3, 85)
+    got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, leaf_docs=16).collect()}
+    assert all((got[d].n_shingles, got[d].component_id) == want[i] for i, (d, _) in enumerate(docs))
+
+
 def test_neardup_odd(odd, none):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(odd, 3, 85).collect()))
     want = plain_components([(r[0], r[1]) for r in ODD], 3, 85)
@@ -251,6 +322,15 @@ def test_warc_round_trip(spark, data):
     assert every == 0
 
 
+def test_warc_hot_page(spark):
+    pages = [(None, f"u{i}", "n" * 400) for i in range(60)] + [(7, f"v{i}", f"{i}" * 400) for i in range(60)] + [(i, "w", "z") for i in range(10, 40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    uri = warc.write_archives(df, range_bytes=8000)
+    listed = files.manifest(uri)["files"]
+    assert max(f["records"] for f in listed) <= 30 and sum(f["records"] for f in listed) == len(pages)
+    assert sorted((r.page_id or 0, r.url) for r in warc.read_archives(spark, uri).collect()) == sorted((p[0] or 0, p[1]) for p in pages)
+
+
 # --------------------------------------------------------------------------- ann
 
 
@@ -277,6 +357,42 @@ def test_ann_recall_and_ties(spark, data):
     assert ann.nearest(spark.createDataFrame([], df.schema), df).count() == 0
 
 
+def test_ann_keeps_distinct_ids(spark):
+    rng = np.random.default_rng(2)
+    q = rng.normal(size=8)
+    rows = [(0, q.tolist())] + [(1, (q + 0.001 * rng.normal(size=8)).tolist()) for _ in range(200)] + [(i, (q + rng.normal(size=8)).tolist()) for i in range(2, 9)] + [(1, q.tolist())] * 50
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), n_lists=1).toPandas().sort_values("rank")
+    score = {}
+    for i, v in rows[1:]:
+        score[i] = max(score.get(i, -2), float(ann.cosine(q, np.array([v]))[0]))
+    assert got.vec_id.tolist() == sorted(score, key=lambda i: (-score[i], i))[:5]
+    again = ann.nearest(df.repartition(7), df.where("vec_id = 0"), n_lists=1).toPandas().sort_values("rank")
+    assert again.equals(got) or (again.vec_id.tolist() == got.vec_id.tolist() and again.score.tolist() == got.score.tolist())
+
+
+def test_ann_fills_and_takes_every_length(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=4).tolist()) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id in (0, 50, 1000, 1005)"), n_lists=100, n_probe=1).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 5, 50: 5, 1000: 5, 1005: 5}
+    assert (got.vec_id[got.query_id >= 1000] >= 1000).all() and (got.vec_id[got.query_id < 1000] < 1000).all()
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_ann_recall_on_the_table(spark, folder):
+    got = QUERIES["op6_ann"](spark, folder).toPandas()
+    rows = [(r.vec_id, r.v) for r in ann.valid(spark.read.parquet(f"{folder}/embeddings.parquet")).collect()]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = np.where(ids == q, -2, ann.cosine(x[ids == q][0], x))
+        hit += len(set(ids[np.lexsort((ids, -s))[:5]]) & set(g.vec_id))
+        assert dict(zip(g.vec_id, g.score)) == {int(i): s[ids == i][0] for i in g.vec_id}
+    assert set(got.query_id) == set(ids[ids % 50 == 0]) and hit / len(got) >= 0.9
+
+
 # -------------------------------------------------------------------------- chat
 
 
@@ -374,6 +490,56 @@ def test_packing_scores_all_terms_of_a_seed():
     assert want[0] == len(docs) - 1 and index.neighbours(0, 4) == want
 
 
+def test_packing_against_plain_version(spark):
+    """One index of all documents, which ``shard_docs`` can ask for, is exact: windows are those of a plain greedy fill by BM25 over all."""
+    rng = random.Random(12)
+    topics = [[f"{chr(97 + t)}{chr(97 + i)}q" for i in range(12)] for t in range(5)]
+    docs = [(i, " ".join(rng.choice(topics[i % 5]) for _ in range(rng.randint(5, 60)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(packing.pack(df, window=64, shard_docs=1000).collect(), key=lambda r: (r.sequence_id, r.offset))
+    ids = packing.to_ids(df).collect()
+    body = {r.doc_id: np.frombuffer(r.ids, dtype="<u2") for r in ids}
+    freq = np.bincount(np.concatenate([np.unique(x) for x in body.values()]), minlength=1 << 16)
+    idf, mean = np.log(1 + (len(docs) - freq + 0.5) / (freq + 0.5)), sum(map(len, body.values())) / len(docs)
+    order = [r.doc_id for r in packing.placed(packing.to_ids(df), idf, len(docs), 1000).collect()]
+
+    def score(seed, d):
+        total = 0.0
+        for t, tf in zip(*np.unique(body[d], return_counts=True)):
+            if t in body[seed]:
+                total += idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body[d]) / mean))
+        return total
+
+    free, want, filled, sequence, seed = list(order), [], 0, 0, None
+
+    def put(d):
+        nonlocal filled, sequence
+        at = 0
+        while at < len(body[d]):
+            take = min(len(body[d]) - at, 64 - filled)
+            want.append((d, at, take, sequence))
+            at, filled = at + take, filled + take
+            if filled == 64:
+                sequence, filled = sequence + 1, 0
+
+    while free:
+        if seed is None:
+            seed = free.pop(0)
+            put(seed)
+            if not filled:
+                seed = None
+                continue
+        room, best = 64 - filled, sorted(free, key=lambda d: (-round(score(seed, d), 9), order.index(d)))[:4]
+        for d in best:
+            free.remove(d)
+            put(d)
+            if len(body[d]) >= room:
+                seed = d if filled else None
+                break
+            room -= len(body[d])
+    assert [(r.doc_id, r.start, r.length) for r in got] == [w[:3] for w in want]
+
+
 @pytest.mark.parametrize("groups", [100, 400])
 def test_packing_meets_neighbours_from_all_over(spark, groups):
     """Copies of a text lie far apart in the input; the share that meets one in its window does not fall as documents grow."""
@@ -419,10 +585,33 @@ def test_cotrain_on_held_out_labels(spark):
     assert got[~low & ~toxic].kept.mean() > 0.98 and (~got[low | toxic].kept).mean() > 0.9
 
 
+def test_cotrain_metadata_of_whole_values():
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", None, "", "en"], "source": ["site-a-webcrawl", "site-b-webcrawl", None, ""], "n_chars": [1, None, 0, 1]})
+    got = cotrain.metadata(batch, 0, 4)
+    assert len({tuple(r) for r in got[:, cotrain.LANGS : cotrain.LANGS + cotrain.SOURCES]}) == 4
+    assert not (got[1, : cotrain.LANGS] == got[2, : cotrain.LANGS]).all()
+    assert (cotrain.metadata(batch, 2, 2) == got[2:]).all()
+    for n in (3, 100_000):
+        slots = np.sort(np.random.default_rng(n).choice(cotrain.SLOTS, n, replace=False))
+        data = cotrain._packed([slots])[0]
+        assert (cotrain._unpacked(data) == slots).all() and len(data) <= cotrain.SLOTS // 8
+
+
+def test_cotrain_of_repeated_ids(spark):
+    rows = [(i % 40, f"good text of words number {i % 40} and more", "en", "s", 10) if i % 2 else (i % 40, f"bad # % & {i % 40} * * spam", "en", "t", 3) for i in range(400)] + [(None, "x", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    got = cotrain.classify(df, labels).toPandas()
+    assert len(got) == len(rows) and got[got.doc_id.notna()].kept.eq(got[got.doc_id.notna()].doc_id % 2 == 1).all()
+
+
 def test_cotrain_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (6, None, None), (None, 1, 1), (8, 0, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
     got = cotrain.classify(odd, labels)
-    assert got.count() == len(ODD) and "row" in got.columns
+    rows = got.collect()
+    assert sorted(((r.doc_id, r.text, r.row) for r in rows), key=str) == sorted(((r[0], r[1], r[9]) for r in ODD), key=str)
+    assert all(0 <= r.p_low <= 1 and 0 <= r.p_toxic <= 1 and r.n_words == len(words(r.text)) for r in rows)
+    assert len({(r.p_low, r.p_toxic) for r in rows if r.doc_id == 1}) == 1
     free = cotrain.classify(odd, labels.where("false")).toPandas()
     assert free.kept.all() and len(free) == len(ODD)
     assert cotrain.classify(none, labels).count() == 0
@@ -450,8 +639,17 @@ def test_pipeline(spark, data):
 def test_pipeline_odd(spark, odd, none, data):
     import corpus_pipeline as p
 
-    for docs in (odd, none):
-        for _, stage in p.STAGES:
-            assert stage(spark, docs, data).count() >= 0
+    for _, stage in p.STAGES:
+        assert stage(spark, none, data).count() == 0
+    rows = {tuple(r) for r in ODD}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, data)
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == odd.columns and set(got) <= rows
+        if name == "quality_rules":
+            assert got == []  # all have few words or repeat them
+        if name == "mixing":
+            assert not {r[0] for r in got} & {3, 4, 5} and {r[3] for r in got} >= {"s1", "s2", "s3", None}
+    check_pieces(p.packing(spark, odd, data).collect(), [(r[0], r[1]) for r in ODD], 1024)
     once = p.near_dedup(spark, odd, data).collect()
     assert sorted(r.doc_id for r in once if r.doc_id) == [1, 3, 4, 5, 6, 8, 9, 11] and any(r.doc_id is None for r in once)
