@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is
+    unset in local mode. Executors of a cluster could not read it, so there it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
