@@ -38,8 +38,8 @@ from .common import fixed_width, grouped, hash_words, mix64, read, stored, text_
 
 POSITIONS = 24
 LEVELS = 3
-LEAF_DOCS = 1000
-LEAF_SHINGLES = 2_000_000
+LEAF_DOCS = 4000
+LEAF_SHINGLES = 4_000_000
 
 
 def design(percent: int, miss: float = 1e-6) -> tuple[int, int, int]:
@@ -174,7 +174,6 @@ def _blocks(members: DataFrame, leaf_docs: int, leaf_shingles: int) -> DataFrame
     kinds = members.groupBy("node", "family").agg(F.count("*").alias("c"))
     own = kinds.where(F.col("c") * 2 > leaf_docs).select("node", "family", F.col("family").cast("string").alias("kind"))
     rows = members.join(own, ["node", "family"], "left").withColumn("kind", F.coalesce("kind", F.lit("rest")))
-    rows = stored(rows, "kinds")
     sizes = rows.groupBy("node", "kind").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     sizes = sizes.select("node", "kind", F.greatest(F.ceil(F.col("c") * 2 / leaf_docs), F.ceil(F.col("w") * 2 / leaf_shingles)).alias("parts"))
     listed = sizes.groupBy("node").agg(F.collect_list(F.struct("kind", "parts")).alias("kinds"))
@@ -186,38 +185,40 @@ def _blocks(members: DataFrame, leaf_docs: int, leaf_shingles: int) -> DataFrame
     return rows.select(F.xxhash64("node", F.least(this, that), F.greatest(this, that)).alias("node"), "rep", "family")
 
 
-def _leaves(names: DataFrame, trees: int, positions: int, leaf_docs: int, leaf_shingles: int) -> DataFrame:
-    """(node, rep, family) of every node with members of two or more families, none
-    above the leaf limits but by a single long document."""
-    kept, rows = [], stored(_roots(names, trees, positions), "nodes")
+def _leaves(names: DataFrame, rows: DataFrame, families: bool, positions: int, leaf_docs: int, leaf_shingles: int) -> DataFrame:
+    """(node, rep, family) of every node below the roots ``rows`` with members of two
+    or more families, none above the leaf limits but by a single long document."""
+    kept = []
     for level in range(LEVELS + 1):
         sizes = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("family").alias("lo"), F.max("family").alias("hi"))
         sizes = stored(sizes.where("c > 1 and lo <> hi").drop("lo", "hi"), "sizes")
         small = (F.col("c") <= leaf_docs) & (F.col("w") <= leaf_shingles)
         kept.append(rows.join(sizes.where(small).select("node"), "node").select("node", "rep", "family"))
-        large = sizes.where(~small)
+        large = sizes.where(~small).select("node")
         if large.isEmpty():
             break
-        members = stored(rows.join(large.select("node"), "node"), "members")
-        shape = members.groupBy("node", "family").agg(F.count("*").alias("c")).groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest"))
-        beside = F.lit(True) if level == LEVELS else F.col("rest") * 2 <= leaf_docs
-        shape = stored(shape.select("node", beside.alias("flat")), "shape")
-        kept.append(_blocks(members.join(shape.where("flat").select("node"), "node"), leaf_docs, leaf_shingles))
+        if level < LEVELS and families:
+            # a large family beside few others needs no branch
+            kinds = rows.join(large, "node").groupBy("node", "family").agg(F.count("*").alias("c"))
+            beside = kinds.groupBy("node").agg((F.sum("c") - F.max("c")).alias("rest")).where(F.col("rest") * 2 <= leaf_docs)
+            beside = stored(beside.select("node"), "beside")
+            if not beside.isEmpty():
+                kept.append(_blocks(rows.join(beside, "node"), leaf_docs, leaf_shingles))
+                large = large.join(beside, "node", "left_anti")
         if level == LEVELS:
+            kept.append(_blocks(rows.join(large, "node"), leaf_docs, leaf_shingles))
             break
-        deep = members.join(shape.where("not flat").select("node"), "node").join(names.select("rep", "sig"), "rep")
-        rows = stored(_children(deep, level, positions), "nodes")
+        rows = stored(_children(rows.join(large, "node").join(names.select("rep", "sig"), "rep"), level, positions), "nodes")
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _families(names: DataFrame, trees: int, positions: int, leaf_docs: int, leaf_shingles: int) -> DataFrame | None:
+def _families(rows: DataFrame, leaf_docs: int, leaf_shingles: int) -> DataFrame | None:
     """(node, rep, family) of leaves that compare the members of large root nodes with
     a centre of theirs, block by block; None if no root node is large. Centres are
     least by one order of all classes, so trees mostly agree on them."""
-    rows = stored(_roots(names, trees, positions), "roots")
     large = rows.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("least"))
     large = stored(large.where((F.col("c") > leaf_docs) | (F.col("w") > leaf_shingles)).select("node", F.col("least.rep").alias("centre")), "large")
     if large.isEmpty():
@@ -388,13 +389,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         sets = texts.select("rep", "lo", "text").mapInArrow(sets_of, "rep long, sig binary, shingles binary")
         return grouped(groups.join(sets, "rep").select("leaf", "rep", "sig", "shingles"), "leaf", link, "a long, b long")
 
-    edges = None
-    opening = _families(names, trees, positions, leaf_docs, leaf_shingles)
+    edges, rows = None, stored(_roots(names, trees, positions), "roots")
+    opening = _families(rows, leaf_docs, leaf_shingles)
     if opening is not None:
         edges = stored(links(opening).distinct(), "family_links")
         family = components(edges).select(F.col("id").alias("rep"), F.col("root").alias("r"))
         names = stored(names.join(family, "rep", "left").withColumn("family", F.coalesce("r", "rep")).drop("r"), "names")
-    found = links(_leaves(names, trees, positions, leaf_docs, leaf_shingles))
+        rows = stored(_roots(names, trees, positions), "roots")
+    found = links(_leaves(names, rows, edges is not None, positions, leaf_docs, leaf_shingles))
     roots = components(found if edges is None else found.unionByName(edges))
     # a class is named by its smallest doc_id, and so is a component
     small = classes.select("lo", "hi", "n", F.col("rep").alias("least"))
