@@ -301,3 +301,51 @@ def content(text: Column, metadata: Column, without: list[str] | None = None) ->
 def header_version(head: Column) -> Column:
     """Version after the file mark at the head of a file."""
     return F.nullif(F.regexp_extract(head, r"%PDF-([0-9]+\.[0-9]+)", 1), F.lit(""))
+
+
+#: Ranges of neutral characters.
+NEUTRAL = r"[\x00-/:-@\x{2000}-\x{206F}\x{20A0}-\x{21FF}]"
+#: Fixed value: characters of a short cell.
+SHORT_CELL = 25
+
+
+def neutral_count(text: Column) -> Column:
+    """Characters that have no direction of their own."""
+    return count_of(text, NEUTRAL)
+
+
+def single_spaces(text: Column) -> Column:
+    """Runs of spaces as one space; other white space stays."""
+    return F.regexp_replace(text, "  +", " ")
+
+
+def digit_bearing(text: Column) -> Column:
+    return numeric_cell(text) | text.rlike("[0-9]")
+
+
+def short_digits(text: Column) -> Column:
+    """A digit in a text of at most 25 characters."""
+    return (F.char_length(text) <= SHORT_CELL) & text.rlike("[0-9]")
+
+
+def box_of(values: Column) -> Column:
+    """A struct of four numbers from an array of exactly four texts that are numbers, else null."""
+    one = [F.try_element_at(values, F.lit(i + 1)).try_cast("double") for i in range(4)]
+    sound = (F.size(values) == 4) & one[0].isNotNull() & one[1].isNotNull() & one[2].isNotNull() & one[3].isNotNull()
+    return F.when(sound, F.struct(*[v.alias(n) for v, n in zip(one, ("x0", "top", "x1", "bottom"))]))
+
+
+def mapping_usable(native: Column, actual: Column, glyphs: Column, mapped: Column, unknown: Column, unsupported: Column, doubtful: Column) -> Column:
+    """Whether the text that a page's fonts give can be used: replaced by actual text for
+    four fifths, without glyphs, or mapped nearly whole."""
+    clean = (mapped >= 0.95) & (unknown <= 0.05) & (unsupported <= 0.02) & (doubtful <= 0.02)
+    return (actual >= F.greatest(F.lit(1), F.floor(native * 0.8))) | (glyphs == 0) | clean
+
+
+def hidden_trusted(native: Column, painted: Column, odd: Column, actual: Column, glyphs: Column, doubtful: Column, unsupported: Column, sure: Column, mapped: Column, unknown: Column, wordlike: Column, noise: Column) -> Column:
+    """Whether text that is not painted may stand for the page."""
+    enough = (native >= 100) & (painted < native * 0.2) & (odd / F.greatest(F.lit(1), native) <= 0.01)
+    replaced = actual >= F.greatest(F.lit(32), F.floor(native * 0.8))
+    clean = (glyphs > 0) & (doubtful <= 0.01) & (unsupported <= 0.01)
+    plain = (mapped >= 0.99) & (unknown <= 0.01) & (wordlike >= 0.65) & (noise <= 0.05)
+    return enough & (replaced | (clean & ((sure >= 0.9) | plain)))

@@ -77,6 +77,22 @@ def test_lattice(spark):
     assert points.count() == 6 and tables.lattice_cells(points, ["p"]).count() == 2
 
 
+def test_cells_share_edges(spark):
+    """No cell between two tables, and a wider one where the nearest corner is missing."""
+    h = spark.createDataFrame([(0, a, b, y) for a, b in ((0.0, 20.0), (30.0, 50.0)) for y in (0.0, 10.0, 20.0)], "p int, x0 double, x1 double, top double")
+    v = spark.createDataFrame([(0, x, 0.0, 20.0) for x in (0.0, 10.0, 20.0, 30.0, 50.0)] + [(0, 40.0, 0.0, 10.0)], "p int, x double, v0 double, v1 double")
+    got = sorted((r.x0, r.top, r.x1, r.bottom) for r in tables.lattice_cells(tables.crossings(h, v, ["p"]), ["p"]).collect())
+    left = [(x, y, x + 10, y + 10) for x in (0.0, 10.0) for y in (0.0, 10.0)]
+    assert got == sorted([*left, (30.0, 0.0, 40.0, 10.0), (40.0, 0.0, 50.0, 10.0), (30.0, 10.0, 50.0, 20.0)])
+
+
+def test_grid_of_odd_boxes(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, 0.0, 0.0, 100.0, 10.0), (2, 0.0, 0.0, inf, 1.0), (3, nan, 0.0, 1.0, 1.0), (4, 9.0, 0.0, 1.0, 1.0), (5, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "i int, x0 double, top double, x1 double, bottom double")
+    assert [(r.i, r.cx) for r in spatial.grid(df).orderBy("cx").collect()] == [(1, 0), (1, 1)]
+
+
 def test_rect_edges_and_merge(spark):
     r = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 10.0), (0, 10.5, 0.5, 20.0, 10.0)], "p int, x0 double, top double, x1 double, bottom double")
     e = tables.rect_edges(r)
