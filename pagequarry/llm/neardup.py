@@ -385,6 +385,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         groups = stored(groups.distinct(), "groups")
         needed = groups.select("rep").distinct().join(names, "rep")
         holders = full.join(needed.select("rep", "lo", "hi", "n"), ["lo", "hi", "n"]).groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("lo").alias("lo"))
+        holders = stored(holders, "holders")
+        # few holders are sent to the texts, many meet them by a shuffle
+        holders = F.broadcast(holders) if holders.count() <= 100_000 else holders
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(holders, "doc_id")
         sets = texts.select("rep", "lo", "text").mapInArrow(sets_of, "rep long, sig binary, shingles binary")
         return grouped(groups.join(sets, "rep").select("leaf", "rep", "sig", "shingles"), "leaf", link, "a long, b long")
