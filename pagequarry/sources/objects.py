@@ -1,8 +1,8 @@
 """Page objects from text and HTML tables.
 
 A line of text is a row of words on a fixed pitch of 6 by 12 units; ten lines
-make a page. Everything is hash-partitioned once by page, so page-level
-windows and groups need no further exchange.
+make a page. Whole pages are hash-partitioned once, so page-level windows and
+groups need no further exchange.
 """
 
 from __future__ import annotations
@@ -18,13 +18,20 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def words(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, page_index, ln, wi, text, x0, x1, top, bottom, doctop, seqno."""
-    rows = lines(docs, key).select(key, "page_index", F.col("ln").cast("long").alias("ln"), F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("wi", "text"))
-    rows = rows.repartition(key, "page_index").withColumn("n", F.char_length("text"))
+    """doc_id, page_index, ln, wi, text, x0, x1, top, bottom, doctop, seqno.
+
+    Whole pages are dealt out before words are made of them, so that the exchange moves
+    ten lines of text instead of a row for each word."""
+    cut = lambda ls: F.transform(F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / LINES).cast("int")), lambda p: F.slice(ls, p * LINES + 1, LINES))
+    of_text = F.transform(F.array(F.split("text", "\n", -1)), cut)[0]  # the lines are split once, however often they are named
+    pages = docs.select(key, F.posexplode(of_text).alias("page_index", "ls")).withColumn("page_index", F.col("page_index").cast("long"))
+    rows = pages.repartition(key, "page_index").select(key, "page_index", F.posexplode("ls").alias("i", "line"))
+    rows = rows.withColumn("ln", F.col("page_index") * LINES + F.col("i"))
+    rows = rows.select(key, "page_index", "ln", "i", F.posexplode(F.filter(F.split("line", " "), lambda w: w != "")).alias("wi", "text")).withColumn("n", F.char_length("text"))
     before = Window.partitionBy(key, "page_index", "ln").orderBy("wi").rowsBetween(Window.unboundedPreceding, -1)
     page = Window.partitionBy(key, "page_index").orderBy("ln", "wi")
     x0 = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)) * float(PITCH)
-    top = (F.col("ln") % LINES) * float(LEADING)
+    top = F.col("i") * float(LEADING)
     return rows.select(
         key, "page_index", "ln", F.col("wi").cast("long").alias("wi"), "text", x0.alias("x0"), (x0 + F.col("n") * float(PITCH)).alias("x1"), top.alias("top"), (top + 10.0).alias("bottom"),
         (F.col("ln") * float(LEADING)).alias("doctop"), F.row_number().over(page).cast("long").alias("seqno"),
