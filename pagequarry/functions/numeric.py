@@ -204,3 +204,17 @@ def compensate_black(y: Column, source_black: float, target_black: float) -> Col
     """Scale so that the source's black meets the target's and white stays at 1."""
     scale = (1.0 - target_black) / (1.0 - source_black)
     return y * scale + (1.0 - scale)
+
+
+def stitched_unordered(x: Column, parts: list, bounds: list[float], encode: list[tuple[float, float]], domain: tuple[float, float] = (0, 1)) -> Column:
+    """A stitched function whose bounds need not ascend: the part of the first bound above the value."""
+    x = clamp(x, *domain)
+    ends = [domain[0], *bounds, domain[1]]
+    pieces = []
+    for i, part in enumerate(parts):
+        low, high, (e0, e1) = ends[i], ends[i + 1], encode[i]
+        pieces.append(part(F.lit(float(e0)) if high == low else F.lit(float(e0)) + (x - low) * (e1 - e0) / (high - low)))
+    out = pieces[-1]
+    for bound, piece in reversed(list(zip(bounds, pieces))):
+        out = F.when(x < bound, piece).otherwise(out)
+    return out

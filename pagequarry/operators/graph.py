@@ -70,3 +70,15 @@ def resolve_roles(roles: DataFrame, limit: int = 8) -> DataFrame:
         moved = out.join(step, "standard", "left").withColumn("_go", ~loop & F.col("_next").isNotNull())
         out = moved.select("role", F.when(F.col("_go"), F.col("_next")).otherwise(F.col("standard")).alias("standard"), F.when(F.col("_go"), F.array_append("_path", F.col("standard"))).otherwise(F.col("_path")).alias("_path"), (F.col("cyclic") | loop).alias("cyclic"))
     return out.select("role", "standard", "cyclic")
+
+
+def resolve_destinations(names: DataFrame, pages: DataFrame, keys: list[str], target: str, index: str) -> DataFrame:
+    """Each destination with the index of the page it names, null where no page has that object."""
+    return names.join(pages.select(*keys, F.col(target), F.col(index)), [*keys, target], "left")
+
+
+def take(rows: DataFrame, wanted: DataFrame, keys: list[str], index: str, indices: str) -> DataFrame:
+    """The rows of each key at the listed indices, in that order (``place`` from 0) and as
+    often as listed; an index without a row gives none."""
+    order = wanted.select(*keys, F.posexplode(indices).alias("place", index))
+    return order.withColumn("place", F.col("place").cast("long")).join(rows, [*keys, index])

@@ -97,3 +97,26 @@ def headings(blocks: DataFrame, keys: list[str], size: str = "size", ratio: floa
     sizes = with_body.where(big).select(*keys, size).distinct().withColumn("rank", F.dense_rank().over(page.orderBy(F.desc(size))))
     out = with_body.join(sizes, [*keys, size], "left")
     return out.withColumns({"kind": F.when(big, "heading").otherwise("paragraph"), "level": F.when(big, F.least(F.lit(3), F.col("rank"))).cast("int")}).drop("rank", "body")
+
+
+def neighbour_lines(lines: DataFrame, keys: list[str], ident: str, ratio: float = 0.5) -> DataFrame:
+    """Pairs of lines of a page that belong together: they share some width, lie within
+    ``ratio`` of the first one's height, are as high and align at left, right or middle."""
+    other = lines.select(*keys, *[F.col(c).alias(f"r_{c}") for c in (ident, "x0", "top", "x1", "bottom")])
+    c, height = F.col, F.col("bottom") - F.col("top")
+    t = height * ratio
+    wide = (c("r_x1") > c("x0")) & (c("x1") > c("r_x0"))
+    high = (c("r_bottom") > c("top") - t) & (c("bottom") + t > c("r_top"))
+    even = F.abs(c("r_bottom") - c("r_top") - height) <= t
+    aligned = (F.abs(c("r_x0") - c("x0")) <= t) | (F.abs(c("r_x1") - c("x1")) <= t) | (F.abs(c("r_x0") + c("r_x1") - c("x0") - c("x1")) / 2 <= t)
+    return lines.join(other, keys).where((c(ident) != c(f"r_{ident}")) & wide & high & even & aligned).select(*keys, ident, f"r_{ident}")
+
+
+def spaced_lines(chars: DataFrame, keys: list[str], order: str, margin: float = 0.1) -> DataFrame:
+    """The text of each line: its characters in order, with a space where the gap before one
+    exceeds ``margin`` times its larger side."""
+    gap = F.col("x0") - F.lag("x1").over(Window.partitionBy(*keys).orderBy(order))
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("bottom") - F.col("top"))
+    piece = F.concat(F.when(gap > side * margin, " ").otherwise(""), F.col("text"))
+    rows = chars.select(*keys, F.col(order).alias("_o"), piece.alias("_p"))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_p"))), lambda r: r["_p"]), "").alias("text"))
