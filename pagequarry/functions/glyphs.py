@@ -31,6 +31,10 @@ CONFIDENCE = {
     "replacement": 0.05,
 }
 
+# Sources whose text stands for itself, and those that are a likely guess.
+AUTHORITATIVE = ["actual_text", "to_unicode", "cff_glyph_repair", "ligature_override", "glyph_name", "truetype_cmap", "truetype_glyph_shape", "predefined_cmap"]
+HEURISTIC = ["cid_collection", "encoding"]
+
 UNSUPPORTED = r"[\p{Co}\p{Cn}\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 
 
@@ -79,6 +83,12 @@ def confidence(text: Column, source: Column, alternates: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", 0.0).otherwise(capped)
 
 
+def semantics(text: Column, source: Column) -> Column:
+    """What the text of a glyph stands for: authoritative, heuristic, unknown-identifier or unsupported."""
+    bad = (F.coalesce(text, F.lit("")) == "") | text.rlike(UNSUPPORTED)
+    return F.when(bad, "unsupported").when(source.isin(*AUTHORITATIVE), "authoritative").when(source.isin(*HEURISTIC), "heuristic").otherwise("unknown-identifier")
+
+
 def split_labels(text: Column) -> Column:
     """A space between a number and what is glued to it: before a capital after a digit with
     one of ``./,:`` in the seven places before, before a digit and white space after a unit

@@ -349,3 +349,24 @@ def hidden_trusted(native: Column, painted: Column, odd: Column, actual: Column,
     clean = (glyphs > 0) & (doubtful <= 0.01) & (unsupported <= 0.01)
     plain = (mapped >= 0.99) & (unknown <= 0.01) & (wordlike >= 0.65) & (noise <= 0.05)
     return enough & (replaced | (clean & ((sure >= 0.9) | plain)))
+
+
+def utility(text: Column, confidence: Column) -> Column:
+    """nonspace, alphanumeric and utility of a reading: its letters and digits with 0.3 for each sign, signs counted
+    up to half of them (two at least), weighed by confidence in per cent and, from six characters on, by how far the
+    most frequent one, case aside, exceeds 60 %. One sort of the characters, no pass for each."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    n = F.char_length(bare)
+    letters = F.char_length(F.regexp_replace(bare, r"[^\p{L}\p{N}]", ""))
+    zero = F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, c: Column) -> Column:
+        run = F.when(s["c"] == c, s["run"] + 1).otherwise(1)
+        return F.struct(c.alias("c"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    most = F.aggregate(F.array_sort(F.split(F.lower(bare), "")), zero, step, lambda s: s["best"])
+    credit = F.least((n - letters).cast("double"), F.greatest(F.lit(2.0), letters * 0.5)) * 0.3
+    sure = F.lit(0.25) + F.least(F.lit(100.0), F.greatest(F.lit(0.0), confidence)) * 0.75 / 100.0
+    over = most / n
+    repeated = F.when((n >= 6) & (over > 0.6), F.greatest(F.lit(0.2), 1.0 - (over - 0.6) * 2.0)).otherwise(1.0)
+    return F.struct(n.cast("long").alias("nonspace"), letters.cast("long").alias("alphanumeric"), F.when(n == 0, 0.0).otherwise((letters + credit) * sure * repeated).alias("utility"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import kept, shared_folder
+
 
 def latest_revision(entries: DataFrame, number: list[str], revision: str) -> DataFrame:
     """Entries of the newest revision that mentions each object number, all generations of it."""
@@ -17,21 +19,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def reachable(roots: DataFrame, edges: DataFrame, directory: str) -> DataFrame:
-    """(id, depth) of all that can be reached over (src, dst), cycles included; one
-    written table a round, so the plan stays short."""
+    """(id, depth) of all that can be reached over (src, dst), cycles included. Each round
+    writes what it found anew; the plan of a round reads those tables and stays short."""
     spark = roots.sparkSession
-    seen = roots.select("id").distinct().withColumn("depth", F.lit(0))
-    k = 0
+    front, k = roots.select("id").distinct(), 0
     while True:
-        seen.write.mode("overwrite").parquet(f"{directory}/{k}")
-        seen = spark.read.parquet(f"{directory}/{k}")
-        front = seen.where(F.col("depth") == k).select(F.col("id").alias("src"))
-        more = edges.join(front, "src").select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        k += 1
-        more = more.withColumn("depth", F.lit(k))
-        if more.isEmpty():
+        front.withColumn("depth", F.lit(k)).write.mode("overwrite").parquet(f"{directory}/{k}")
+        seen = spark.read.schema("id " + dict(front.dtypes)["id"] + ", depth int").parquet(*[f"{directory}/{i}" for i in range(k + 1)])
+        last = spark.read.schema(seen.schema).parquet(f"{directory}/{k}")
+        if last.isEmpty():
             return seen
-        seen = seen.unionByName(more)
+        step = edges.join(last.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        front, k = step.join(seen.select("id"), "id", "left_anti"), k + 1
 
 
 def identical(objects: DataFrame, key: str, content: list[str]) -> DataFrame:
@@ -60,16 +59,22 @@ def append_renumbered(base: DataFrame, more: DataFrame, key: str, references: li
     return base.unionByName(moved)
 
 
-def resolve_roles(roles: DataFrame, limit: int = 8) -> DataFrame:
-    """role, standard, cyclic: the end of each chain of a role map (role, target), chains
-    of up to ``limit`` steps; a chain that returns to itself is cyclic."""
+def resolve_roles(roles: DataFrame) -> DataFrame:
+    """role, standard, cyclic: the end of each chain of a role map (role, target), however
+    long; a chain that returns to itself is cyclic. One join a step until none moves, so a
+    map costs as many steps as its longest chain."""
     out = roles.select("role", F.col("target").alias("standard"), F.array("role").alias("_path"), F.lit(False).alias("cyclic"))
-    step = roles.select(F.col("role").alias("standard"), F.col("target").alias("_next"))
-    for _ in range(limit):
+    step = roles.select(F.col("role").alias("_at"), F.col("target").alias("_next"))
+    folder, k = shared_folder(roles.sparkSession), 0
+    while True:
         loop = F.array_contains("_path", F.col("standard"))
-        moved = out.join(step, "standard", "left").withColumn("_go", ~loop & F.col("_next").isNotNull())
-        out = moved.select("role", F.when(F.col("_go"), F.col("_next")).otherwise(F.col("standard")).alias("standard"), F.when(F.col("_go"), F.array_append("_path", F.col("standard"))).otherwise(F.col("_path")).alias("_path"), (F.col("cyclic") | loop).alias("cyclic"))
-    return out.select("role", "standard", "cyclic")
+        moved = out.where("not cyclic").join(step, F.col("standard") == F.col("_at"), "left").withColumns({"_loop": loop, "_go": ~loop & F.col("_next").isNotNull()})
+        path = F.when(F.col("_go"), F.array_append("_path", F.col("standard"))).otherwise(F.col("_path"))
+        made = moved.select("role", F.when(F.col("_go"), F.col("_next")).otherwise(F.col("standard")).alias("standard"), path.alias("_path"), F.col("_loop").alias("cyclic"), F.col("_go"))
+        made = kept(made.unionByName(out.where("cyclic").withColumn("_go", F.lit(False))), f"{folder}/{k}")
+        out, k = made.drop("_go"), k + 1
+        if made.where("_go").isEmpty():
+            return out.select("role", "standard", "cyclic")
 
 
 def resolve_destinations(names: DataFrame, pages: DataFrame, keys: list[str], target: str, index: str) -> DataFrame:

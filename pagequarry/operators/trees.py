@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.folders import kept, shared_folder
+
+
+def descend(level: DataFrame, below: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """The first level of a tree and all that ``below`` makes of each level in turn. Levels
+    are written to the shared folder, so none is made twice; beyond ``limit`` levels it raises."""
+    spark, folder, depth = level.sparkSession, shared_folder(level.sparkSession), 0
+    while True:
+        level = kept(level, f"{folder}/{depth}")
+        if level.isEmpty():
+            return spark.read.schema(level.schema).parquet(*[f"{folder}/{i}" for i in range(depth + 1)])
+        if depth > limit:
+            raise RecursionError(f"deeper than {limit}")
+        level, depth = below(level), depth + 1
+
 
 def walk(nodes: DataFrame, name: str, limit: int = 200) -> DataFrame:
     """id, depth, path (names from the root) of every node below a root (parent null).
@@ -12,17 +29,13 @@ def walk(nodes: DataFrame, name: str, limit: int = 200) -> DataFrame:
     One join a level; a cycle has no root and is never entered. Beyond ``limit``
     levels it raises.
     """
-    level = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.array(name).alias("path"))
-    children = nodes.where("parent is not null").select(F.col("id").alias("_c"), "parent", F.col(name).alias("_n"))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        level = level.join(children, F.col("id") == F.col("parent")).select(F.col("_c").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("_n")).alias("path"))
-        if level.isEmpty():
-            return out
-        if depth > limit:
-            raise RecursionError(f"deeper than {limit}")
-        out = out.unionByName(level)
+    roots = nodes.where("parent is null").select("id", F.lit(0).alias("depth"), F.array(name).alias("path"))
+    children = nodes.where("parent is not null").select(F.col("id").alias("_c"), F.col("parent").alias("_p"), F.col(name).alias("_n"))
+
+    def below(level: DataFrame) -> DataFrame:
+        return level.join(children, F.col("id") == F.col("_p")).select(F.col("_c").alias("id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("_n")).alias("path"))
+
+    return descend(roots, below, limit)
 
 
 def qualified(path: Column) -> Column:

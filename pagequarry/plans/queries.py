@@ -613,4 +613,4 @@ def event_sessions(spark, d):
     return sessions(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start_s"), "n")
 
 
-from . import grid_queries, native_queries, page_queries, structure_queries, text_queries  # noqa: E402, F401  (register their queries)
+from . import grid_queries, native_queries, page_queries, record_queries, structure_queries, text_queries  # noqa: E402, F401  (register their queries)

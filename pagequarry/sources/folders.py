@@ -20,5 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pagequarry-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The rows written to a folder and read back, so that what follows does not make them again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

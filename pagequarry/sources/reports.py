@@ -38,3 +38,25 @@ def kept_columns(columns: list[str], include: list[str] | None = None, exclude:
 def csv_line(objects: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> Column:
     """One line of CSV for each object; null is empty."""
     return F.array_join(F.array(*[F.coalesce(csv_field(F.col(c).cast("string")), F.lit("")) for c in kept_columns(objects.columns, include, exclude)]), ",")
+
+
+def serialized(objects: DataFrame, precision: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Objects with plain values only: truth as 0 and 1, bytes as text (null where they are not UTF-8),
+    fractions rounded to the precision, in the columns kept and their order."""
+
+    def plain(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind == "boolean":
+            return c.cast("int").alias(name)
+        if kind == "binary":
+            return F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, "UTF-8")).alias(name)
+        return F.round(c, precision).alias(name) if kind in ("double", "float") and precision is not None else c
+
+    kinds = dict(objects.dtypes)
+    return objects.select(*[plain(c, kinds[c]) for c in kept_columns(objects.columns, include, exclude) if c in kinds])
+
+
+def json_line(objects: DataFrame, precision: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """One object of JSON for each row, nulls written out."""
+    rows = serialized(objects, precision, include, exclude)
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("json"))
