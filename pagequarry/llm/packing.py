@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, read, stored, with_fields
+from .common import mix64, read, stored, trim, with_fields
 from .tokens import bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -49,11 +49,18 @@ def frequencies(ids: DataFrame, n_terms: int = 1 << 16) -> tuple[np.ndarray, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, total = np.zeros(n_terms, dtype=np.int64), 0, 0
+        seen, some = np.zeros(n_terms, dtype=np.uint8), np.zeros(n_terms, dtype=np.uint8)  # of up to 255 documents
         for b in batches:
             for x in b.column("ids"):
                 one = np.frombuffer(x.as_py(), dtype="<u2")
-                df[np.unique(one)] += 1
+                seen[one] = 1
+                some += seen
+                seen[one] = 0
                 docs, total = docs + 1, total + len(one)
+                if docs % 255 == 0:
+                    df += some
+                    some[:] = 0
+        df += some
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((term, [-1, -2]))), pa.array(np.concatenate((df[term], [docs, total])))], names=["term", "c"])
 
@@ -105,24 +112,30 @@ class Shard:
     """BM25 inverted index of one shard's documents; used ones are never returned."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None = None):
-        self.n, self.idf, self.most = len(docs), idf, query_terms
+        self.n, self.most = len(docs), query_terms
         self.free = np.ones(self.n, dtype=bool)
         self.next = 0
-        pairs = [np.unique(d, return_counts=True) for d in docs]
-        term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
-        tf = np.concatenate([p[1] for p in pairs]).astype(np.float64)
-        doc = np.repeat(np.arange(self.n), [len(p[0]) for p in pairs])
-        size = np.array([len(d) for d in docs], dtype=np.float64)[doc]
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-        self.own = np.concatenate(([0], np.cumsum([len(p[0]) for p in pairs])))
-        self.terms, self.weights = term, weight
+        size = np.array([len(d) for d in docs], dtype=np.int64)
+        pairs = np.repeat(np.arange(self.n) << 16, size)
+        pairs |= np.concatenate(docs)
+        pairs.sort()
+        new = np.flatnonzero(np.diff(pairs, prepend=-1))
+        tf, pairs = np.diff(new, append=len(pairs)), pairs[new]
+        doc, term = pairs >> 16, pairs & 0xFFFF
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / mean))
+        self.own = np.searchsorted(doc, np.arange(self.n + 1))
+        self.terms, self.weights = term, weight if query_terms else None
         by = np.argsort(term, kind="stable")
+        names, first, held = np.unique(term[by], return_index=True, return_counts=True)
         self.doc, self.weight = doc[by], weight[by]
-        names, first = np.unique(term[by], return_index=True)
-        self.at = np.full(len(idf) + 1, -1, dtype=np.int64)
-        self.at[names] = first
-        self.to = np.full(len(idf) + 1, -1, dtype=np.int64)
-        self.to[names] = np.append(first[1:], len(by))
+        self.at, self.to = np.zeros(len(idf) + 1, dtype=np.int64), np.zeros(len(idf) + 1, dtype=np.int64)
+        self.at[names], self.to[names] = first, first + held
+        # terms of a quarter of the documents or more also have a row over all documents
+        wide = np.flatnonzero(4 * held >= self.n)
+        self.row, self.rows = np.full(len(idf) + 1, -1, dtype=np.int64), np.zeros((len(wide), self.n))
+        self.row[names[wide]] = np.arange(len(wide))
+        for k, (lo, hi) in enumerate(zip(first[wide].tolist(), (first + held)[wide].tolist())):
+            self.rows[k, self.doc[lo:hi]] = self.weight[lo:hi]
 
     def first(self) -> int:
         while self.next < self.n and not self.free[self.next]:
@@ -134,11 +147,15 @@ class Shard:
         given, its ``query_terms`` heaviest; the next unused ones in order where no
         term is shared."""
         lo, hi = self.own[seed], self.own[seed + 1]
-        t, w = self.terms[lo:hi], self.weights[lo:hi]
+        t = self.terms[lo:hi]
         if self.most and len(t) > self.most:
-            t = t[np.argpartition(-w, self.most)[: self.most]]
-        spans = list(zip(self.at[t].tolist(), self.to[t].tolist()))
-        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
+            t = t[np.argpartition(-self.weights[lo:hi], self.most)[: self.most]]
+        row = self.row[t]
+        score = self.rows[row[row >= 0]].sum(axis=0)  # term by term, so equal documents have equal sums
+        t = t[row < 0]
+        if len(t):
+            spans = list(zip(self.at[t].tolist(), self.to[t].tolist()))
+            score += np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), weights=np.concatenate([self.weight[a:b] for a, b in spans]), minlength=self.n)
         score[~self.free] = -1.0
         if count < self.n:
             best = np.argpartition(-score, count - 1)[:count]
@@ -207,6 +224,7 @@ def pack(docs: DataFrame, window: int = 1024, shard_docs: int = 1024, shard_ids:
                     room -= size
 
         def packed() -> pa.RecordBatch:
+            trim()
             out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in PIECES.split(", ")])
             rows.clear()
             return out
