@@ -98,11 +98,23 @@ def linked(boxes: DataFrame, links: DataFrame, keys: list[str], threshold: float
 
 
 def outside_tables(lines: DataFrame, tables: DataFrame, keys: list[str], ident: str, share: float = 0.9) -> DataFrame:
-    """Lines without those that lie in a table by the share and whose tokens it holds."""
+    """Lines without those that lie in a table by the share and whose tokens it holds. The
+    tables of a page stand beside each of its lines, so no line is moved more than once."""
     t = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    held = F.size(F.array_except(t(F.col("text")), t(F.col("r_text")))) == 0
-    inside = box_join(lines, tables, keys).where((Box.of().share_of_self(Box.of("r_")) >= share) & held).select(*keys, ident).distinct()
-    return lines.join(inside, [*keys, ident], "left_anti").select(*lines.columns)
+    own, box = Box.of(), ["x0", "top", "x1", "bottom"]
+    whole = (own.x0 <= own.x1) & (own.top <= own.bottom)
+    for c in (own.x0, own.x1, own.top, own.bottom):
+        whole &= ~F.isnan(c.cast("double")) & (F.abs(c) != float("inf"))
+    beside = tables.select(*keys, F.struct(*box, t(F.col("text")).alias("tokens")).alias("_r")).groupBy(*keys).agg(F.collect_list("_r").alias("_tables"))
+
+    def holds(r: Column) -> Column:
+        other = Box(*[r[c] for c in box])
+        within = own.overlaps(other) & (own.share_of_self(other) >= share)
+        return F.when(within, F.size(F.array_except(t(F.col("text")), r["tokens"])) == 0)
+
+    rows = lines.join(beside, keys, "left").withColumn("_in", whole & F.exists("_tables", holds)).drop("_tables")
+    inside = F.bool_or("_in").over(Window.partitionBy(*keys, ident))
+    return rows.withColumn("_in", F.coalesce(inside, F.lit(False))).where("not _in").select(*lines.columns)
 
 
 def marked_content(chars: DataFrame, elements: DataFrame, keys: list[str], order: str = "seqno") -> DataFrame:
