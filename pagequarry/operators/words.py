@@ -1,14 +1,32 @@
-"""Characters to words, lines and text, by windows over one page at a time."""
+"""Characters to words, lines and text, many pages at a time; gaps and margins by windows of a page."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import islands
+from .groups import Packed, chained, in_order, joined, numbers, per_batch, starts
+
+
+def _rows(group: np.ndarray, c: dict, y_tolerance: float) -> tuple[np.ndarray, ...]:
+    """The characters' order by group, row (chain clusters of top) and x0, and their groups and rows in it."""
+    row = chained(group, numbers(c["top"]).astype(float), y_tolerance)
+    order = in_order(row, numbers(c["x0"]), numbers(c["seqno"]))
+    return order, group[order], row[order]
 
 
-def chars_to_words(chars: DataFrame, keys: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0, keep_blanks: bool = False, split_at: str = "") -> DataFrame:
+def _of_kind(text: pa.Array, test: Callable[[str | None], bool]) -> np.ndarray:
+    """A test of each text, done once for equal ones."""
+    coded = text.dictionary_encode(null_encoding="encode")
+    return np.array([test(t) for t in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
+def chars_to_words(chars: DataFrame | Packed, keys: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0, keep_blanks: bool = False, split_at: str = "") -> DataFrame:
     """keys, word, text, x0, x1, top, bottom.
 
     Characters on one row (chain clusters of top) go by x0. A word ends where the
@@ -16,30 +34,50 @@ def chars_to_words(chars: DataFrame, keys: list[str], x_tolerance: float = 3.0,
     right of its end, or off its row by more than the tolerance; blanks end a
     word and vanish unless kept; every sign in ``split_at`` is a word by itself.
     """
-    rows = islands(chars, keys, "top", y_tolerance, "_row")
-    order = Window.partitionBy(*keys, "_row").orderBy("x0", "seqno")
-    blank = F.trim("text") == ""
-    alone = F.lit(False) if not split_at else (F.col("text") != "") & (F.instr(F.lit(split_at), F.col("text")) > 0)
-    rows = rows.withColumns({"_blank": blank & F.lit(not keep_blanks), "_alone": alone})
-    last = lambda c: F.lag(c).over(order)
-    new = (F.col("x0") < last("x0")) | (F.col("x0") > last("x1") + x_tolerance) | (F.abs(F.col("top") - last("top")) > y_tolerance) | last("_blank") | F.col("_alone") | last("_alone")
-    rows = rows.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-    rows = rows.withColumn("_word", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("_blank"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seqno", "text"))), lambda c: c["text"]), "")
-    out = rows.groupBy(*keys, "_row", "_word").agg(text.alias("text"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_row", "_word"))
-    return out.select(*keys, number.cast("long").alias("word"), "text", "x0", "x1", "top", "bottom")
-
-
-def simple_text(chars: DataFrame, keys: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0) -> DataFrame:
+
+    def run(group: np.ndarray, c: dict, n: int) -> tuple[np.ndarray, list]:
+        if not len(group):
+            return group, [[]] * 6
+        order, g, row = _rows(group, c, y_tolerance)
+        x0, x1, top, bottom = (numbers(c[k])[order] for k in ("x0", "x1", "top", "bottom"))
+        text = c["text"].take(pa.array(order))
+        blank = _of_kind(text, lambda t: t is None or not t.strip(" ")) & (not keep_blanks)
+        alone = _of_kind(text, lambda t: bool(t) and t in split_at)
+        new = starts(row)
+        near = (x0[1:] >= x0[:-1]) & (x0[1:] <= x1[:-1] + x_tolerance) & (np.abs(top[1:] - top[:-1]) <= y_tolerance)
+        new[1:] |= ~near | blank[:-1] | alone[1:] | alone[:-1]
+        word, seen = np.cumsum(new)[~blank], ~blank
+        first = np.flatnonzero(starts(word))
+        if not len(first):
+            return g[:0], [[]] * 6
+        at = g[seen][first]
+        number = np.arange(len(at)) - np.maximum.accumulate(np.where(starts(at), np.arange(len(at)), 0)) + 1
+        least, most = (lambda v: np.fmin.reduceat(v[seen], first)), (lambda v: np.fmax.reduceat(v[seen], first))
+        return at, [number, joined(text.filter(pa.array(seen)), first), least(x0), most(x1), least(top), most(bottom)]
+
+    kind = dict(chars.dtypes)
+    more = "word long, text string, " + ", ".join(f"{k} {kind[k]}" for k in ("x0", "x1", "top", "bottom"))
+    return per_batch(chars, keys, ["text", "x0", "x1", "top", "bottom", "seqno"], run, more)
+
+
+def simple_text(chars: DataFrame | Packed, keys: list[str], x_tolerance: float = 3.0, y_tolerance: float = 3.0) -> DataFrame:
     """keys and text: rows from top to bottom, a space where characters are farther apart than the tolerance."""
-    rows = islands(chars, keys, "top", y_tolerance, "_row")
-    order = Window.partitionBy(*keys, "_row").orderBy("x0", "seqno")
-    gap = F.col("x0") > F.lag("x1").over(order) + x_tolerance
-    rows = rows.withColumn("_t", F.concat(F.when(gap, " ").otherwise(""), "text"))
-    ordered = lambda cols, c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*cols, c))), lambda r: r[c]), sep)
-    lines = rows.groupBy(*keys, "_row").agg(ordered(["x0", "seqno"], "_t", "").alias("_l"))
-    return lines.groupBy(*keys).agg(ordered(["_row"], "_l", "\n").alias("text"))
+
+    def run(group: np.ndarray, c: dict, n: int) -> tuple[np.ndarray, list]:
+        if not len(group):
+            return group, [[]]
+        order, g, row = _rows(group, c, y_tolerance)
+        x0, x1 = numbers(c["x0"])[order], numbers(c["x1"])[order]
+        page = starts(g)
+        before = np.full(len(g), 0)
+        before[1:][x0[1:] > x1[:-1] + x_tolerance] = 1
+        before[starts(row)] = 2
+        before[page] = 0
+        text = pc.binary_join_element_wise(pa.array(["", " ", "\n"]).take(pa.array(before)), c["text"].take(pa.array(order)).fill_null(""), "")
+        first = np.flatnonzero(page)
+        return g[first], [joined(text, first)]
+
+    return per_batch(chars, keys, ["text", "x0", "x1", "top", "seqno"], run, "text string")
 
 
 def largest_gap(objects: DataFrame, keys: list[str], start: str = "x0", end: str = "x1") -> DataFrame:
