@@ -1,12 +1,16 @@
-"""Approximate nearest neighbours: inverted file with product-quantised residuals.
+"""Nearest neighbours: inverted file with product-quantised residuals, checked by bounds.
 
 Vectors are scaled to length 1, so the nearest by distance is the nearest by
 cosine. Coarse centroids and residual codebooks are fitted on a bounded sample;
 every vector is then indexed under its centroid with the code of its residual.
-A query visits its nearest lists: there an asymmetric distance table gives the
-distance to every code, and the best candidates are ranked again by the exact
-cosine of the original vectors. Lists and their queries are cut into blocks of
-bounded size, so a list that holds a third of all rows is many tasks.
+Lists stand on shelves, neighbouring small ones together; shelves and the
+queries that visit them are cut into blocks of bounded size, so a list that
+holds a third of all rows is many tasks. A query first visits the shelves of its
+nearest lists. There a row is passed over only if its distance by the code, less
+the error of that code, is beyond the k-th nearest; all others are ranked by the
+exact cosine of the original vectors. Then the query visits each further shelf
+with a list whose centroid is near enough for its radius to bring a nearer row.
+So nothing nearer is missed, whatever the rows; the sample decides the work only.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import read, stored
 
 FOUND = "query_id long, vec_id long, score double"
+SLACK = 1e-6  # more than rounding moves a distance between vectors of length 1
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -77,27 +82,48 @@ class Index:
         rest = x - self.centroids[at]
         return at, np.stack([_closest(rest[:, g], b) for g, b in zip(self.groups, self.books)], axis=1).astype(np.uint8)
 
-    def distances(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of queries to codes of one list, from tables per group."""
-        rest = queries - self.centroids[at]
-        out = np.zeros((len(queries), len(codes)), dtype=np.float32)
+    def decode(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        out = self.centroids[at]
         for j, (g, b) in enumerate(zip(self.groups, self.books)):
-            table = ((rest[:, g][:, None, :] - b[None]) ** 2).sum(axis=2).astype(np.float32)
-            out += table[:, codes[:, j]]
+            out[:, g] += b[codes[:, j]]
         return out
 
+    def shelves(self, counts: np.ndarray, size: int, seed: int) -> np.ndarray:
+        """The shelf of each list: lists of a like centroid share one of up to ``size`` rows."""
+        near = np.zeros(len(counts), dtype=np.int64)
+        if counts.sum() > size:
+            near = _closest(self.centroids, _kmeans(self.centroids, int(-(-counts.sum() // size)), np.random.default_rng(seed), 8))
+        out, shelf, held = np.zeros(len(counts), dtype=np.int64), 0, 0
+        for at in np.argsort(near, kind="stable"):
+            if held and held + counts[at] > size:
+                shelf, held = shelf + 1, 0
+            out[at] = shelf
+            held += counts[at]
+        return out
 
-def cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """In double precision, the same for equal rows wherever they stand."""
-    return (rows * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((rows * rows).sum(axis=1)))
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, of any size of components."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def first_distinct(ids: np.ndarray, far: np.ndarray, count: int) -> np.ndarray:
-    """Rows in order of ``far``, up to the one that brings the ``count``-th distinct id."""
-    order = np.argsort(far, kind="stable")
-    fresh = np.zeros(len(ids), dtype=bool)
-    fresh[np.unique(ids[order], return_index=True)[1]] = True
-    return order[: int(np.searchsorted(np.cumsum(fresh), count)) + 1]
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of a to all of b, to within SLACK for lengths about 1."""
+    return np.sqrt(np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T), 0))
+
+
+def cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """In double precision, the same for equal rows wherever they stand. Where squares
+    would leave the range of doubles, of the rows scaled first."""
+    with np.errstate(all="ignore"):
+        own, square = (q * q).sum(), (rows * rows).sum(axis=1)
+        out = (rows * q).sum(axis=1) / (np.sqrt(own) * np.sqrt(square))
+    far = (square < 1e-250) | (square > 1e250) | (own < 1e-250) | (own > 1e250)
+    if far.any():
+        out[far] = (unit(rows[far]) * unit(q[None])).sum(axis=1)
+    return out
 
 
 def best_of(name: int, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +134,37 @@ def best_of(name: int, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.n
     return ids[top], score[top]
 
 
+def near_of(ids: np.ndarray, raw: np.ndarray, u: np.ndarray, coded: np.ndarray, blur: np.ndarray, names: np.ndarray, q: np.ndarray, reach: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows in order of their ids, what can be among the ``k`` nearest of each query, and no further than its reach.
+
+    A row lies between its distance by the code less ``blur``, the error of that
+    code, and that distance and ``blur``."""
+    uq, own = unit(q), ids[None] == names[:, None]
+    far = apart(uq, coded)
+    most = np.where(own, np.inf, far + blur)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    best = np.minimum.reduceat(most, first, axis=1)
+    if best.shape[1] > k:
+        reach = np.minimum(reach, np.partition(best, k - 1, axis=1)[:, k - 1])
+    may = (far - blur <= reach[:, None] + 2 * SLACK) & ~own
+    at = np.flatnonzero(may.any(axis=0))
+    if not len(at):
+        return []
+    score = np.where(may[:, at], uq @ u[at].T, -np.inf)
+    first = np.flatnonzero(np.concatenate(([True], ids[at[1:]] != ids[at[:-1]])))
+    best = np.maximum.reduceat(score, first, axis=1)
+    least = 1 - reach * reach / 2
+    if best.shape[1] > k:
+        least = np.maximum(least, np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k])
+    good = (score >= least[:, None] - 4 * SLACK) & (score > -np.inf)
+    out = []
+    for j in np.flatnonzero(good.any(axis=1)):
+        some = at[good[j]]
+        vec, exact = best_of(names[j], ids[some], cosine(q[j], raw[some]), k)
+        out.append((np.full(len(vec), names[j]), vec, exact))
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, **options) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query.
 
@@ -139,13 +196,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, **options) -> Da
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, sample_rows: int = 16_384, n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.96, n_groups: int = 16, n_codes: int = 256, rerank: int = 64, block_rows: int = 4096, block_queries: int = 1024, seed: int = 5) -> DataFrame:
-    """Candidates (query_id, vec_id, score) among vectors of one length.
+def search_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, sample_rows: int = 16_384, n_lists: int | None = None, n_probe: int | None = None, recall: float = 0.96, n_groups: int = 16, n_codes: int = 256, block_rows: int = 4096, block_queries: int = 1024, seed: int = 5) -> DataFrame:
+    """Candidates (query_id, vec_id, score) among vectors of one length, the ``k`` nearest of each query among them.
 
     The fit reads at most ``sample_rows`` distinct rows, the first by a hash of
     id and vector; every row is indexed. ``n_lists`` defaults to the square root
-    of the ids, at most 4096, ``n_probe`` to what reaches ``recall`` within the
-    sample, 16 at least. ``rerank`` distinct ids of a block are scored exactly.
+    of the ids, at most 4096, ``n_probe``, the lists visited at first, to what
+    reaches ``recall`` within the sample, 16 at least.
     """
     spark = rows.sparkSession
     mark = F.xxhash64("vec_id", "v")
@@ -153,7 +210,6 @@ def search_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, s
     picked = rows.withColumn("m", mark).join(F.broadcast(marks), "m", "left_semi").dropDuplicates(["vec_id", "v"])
     sample = sorted((r["m"], r["vec_id"], r["v"]) for r in picked.collect())  # at most sample_rows rows
     sample = np.array([r[2] for r in sample], dtype=np.float64).reshape(-1, dim)
-    unit = lambda x: x / np.sqrt((x * x).sum(axis=1))[:, None]
     lists = n_lists or int(np.clip(np.sqrt(n), 1, 4096))
     index = Index(unit(sample), lists, n_groups, n_codes, seed)
     lists = len(index.centroids)
@@ -166,79 +222,95 @@ def search_length(rows: DataFrame, asked: DataFrame, dim: int, n: int, k: int, s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b)
-            at, codes = shared.value.encode(unit(x))
-            columns = [pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "code", "raw"])
-
-    def visits_of(probes: int):
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for i in range(0, len(whole), 512):
-                    b = whole.slice(i, 512)
-                    x = matrix(b)
-                    u, c = unit(x), shared.value.centroids
-                    near = np.argsort((c * c).sum(axis=1)[None] / 2 - u @ c.T, axis=1, kind="stable")[:, :probes]
-                    at = pa.array(np.repeat(np.arange(len(x)), probes))
-                    raw = pa.array([r.tobytes() for r in x], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(near.reshape(-1).astype(np.int32)), b.column("vec_id").take(at), raw.take(at)], names=["list", "query_id", "raw"])
-
-        return visit
-
-    indexed = rows.dropDuplicates(["vec_id", "v"]).mapInArrow(encode, "list int, vec_id long, code binary, raw binary")
+            u = unit(x)
+            at, codes = shared.value.encode(u)
+            away = np.sqrt(((u - shared.value.centroids[at]) ** 2).sum(axis=1))
+            columns = [pa.array(at.astype(np.int32)), b.column("vec_id"), pa.array(away), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["list", "vec_id", "away", "code", "raw"])
+
+    indexed = rows.dropDuplicates(["vec_id", "v"]).mapInArrow(encode, "list int, vec_id long, away double, code binary, raw binary")
     indexed = stored(indexed, "index")
-    asked = stored(asked.dropDuplicates(["vec_id", "v"]), "asked")
+    # two numbers a list
+    counts, radius = np.zeros(lists, dtype=np.int64), np.full(lists, -np.inf)
+    for r in indexed.groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect():
+        counts[r["list"]], radius[r["list"]] = r["n"], r["r"]
+    shelf = index.shelves(counts, block_rows, seed)
+    held = np.bincount(shelf, weights=counts).astype(np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with a bit for each shelf of their nearest lists."""
+        for whole in batches:
+            for i in range(0, len(whole), 512):
+                b = whole.slice(i, 512)
+                x = matrix(b)
+                near = np.argsort(apart(unit(x), shared.value.centroids), axis=1, kind="stable")[:, :probes]
+                first = np.zeros((len(x), len(held)), dtype=bool)
+                first[np.arange(len(x))[:, None], shelf[near]] = True
+                columns = [b.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([f.tobytes() for f in np.packbits(first, axis=1)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "raw", "first"])
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without a reach the first shelves, with one all others that hold a list within it."""
+        for whole in batches:
+            for i in range(0, len(whole), 512):
+                b = whole.slice(i, 512)
+                bits = np.frombuffer(b"".join(b.column("first").to_pylist()), dtype=np.uint8).reshape(len(b), -1)
+                go = np.unpackbits(bits, axis=1, count=len(held)).astype(bool)
+                if b.column("reach").null_count < len(b):
+                    x = np.frombuffer(b"".join(b.column("raw").to_pylist()), dtype=np.float64).reshape(-1, dim)
+                    reach = b.column("reach").to_numpy(zero_copy_only=False)
+                    q, at = np.nonzero(apart(unit(x), shared.value.centroids) - radius <= reach[:, None] + SLACK)
+                    within = np.zeros_like(go)
+                    within[q, shelf[at]] = True
+                    go = within & ~go
+                q, to = np.nonzero(go & (held > 0))
+                take = pa.array(q)
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), b.column("query_id").take(take), b.column("reach").take(take), b.column("raw").take(take)], names=["shelf", "query_id", "reach", "raw"])
 
     def search(key: tuple, own: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(ask):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = own.sort_values(["vec_id", "raw"], kind="stable")
-        ids, names = own["vec_id"].to_numpy(), ask["query_id"].to_numpy()
-        codes = np.frombuffer(b"".join(own["code"]), dtype=np.uint8).reshape(len(own), -1)
-        raw = np.frombuffer(b"".join(own["raw"]), dtype=np.float64).reshape(-1, dim)
-        q = np.frombuffer(b"".join(ask["raw"]), dtype=np.float64).reshape(-1, dim)
-        norm = np.sqrt((raw * raw).sum(axis=1))
-        single, most = (ids[1:] != ids[:-1]).all(), rerank + 1
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(0, len(q), 128):
-            some, asking = q[i : i + 128], names[i : i + 128]
-            far = shared.value.distances(unit(some), key[0], codes)
-            if not single:
-                for one, name, d in zip(some, asking, far):
-                    cand = first_distinct(ids, d, most)
-                    vec, score = best_of(name, ids[cand], cosine(one, raw[cand]), k)
-                    out.append((np.full(len(vec), name), vec, score))
-                continue
-            # no id stands twice, so all queries of the chunk go at once
-            cand = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(ids) else np.tile(np.arange(len(ids)), (len(some), 1))
-            score = (raw[cand] * some[:, None]).sum(axis=2) / (np.sqrt((some * some).sum(axis=1))[:, None] * norm[cand])
-            score[ids[cand] == asking[:, None]] = -np.inf
-            top = np.lexsort((ids[cand], -score), axis=1)[:, :k]
-            score, vec = np.take_along_axis(score, top, axis=1), np.take_along_axis(ids[cand], top, axis=1)
-            good = score > -np.inf
-            out.append((np.broadcast_to(asking[:, None], good.shape)[good], vec[good], score[good]))
+        if len(own) and len(ask):
+            own = own.sort_values(["vec_id", "raw"], kind="stable")
+            ids, names = own["vec_id"].to_numpy(), ask["query_id"].to_numpy()
+            codes = np.frombuffer(b"".join(own["code"]), dtype=np.uint8).reshape(len(own), -1)
+            raw = np.frombuffer(b"".join(own["raw"]), dtype=np.float64).reshape(-1, dim)
+            q = np.frombuffer(b"".join(ask["raw"]), dtype=np.float64).reshape(-1, dim)
+            reach = ask["reach"].astype("float64").fillna(np.inf).to_numpy()
+            u, coded = unit(raw), shared.value.decode(own["list"].to_numpy(), codes)
+            blur = np.sqrt(((u - coded) ** 2).sum(axis=1))
+            for i in range(0, len(q), 128):
+                out += near_of(ids, raw, u, coded, blur, names[i : i + 128], q[i : i + 128], reach[i : i + 128], k)
+        if not out:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
 
-    def find(asked: DataFrame, probes: int) -> DataFrame:
-        visits = stored(asked.mapInArrow(visits_of(probes), "list int, query_id long, raw binary"), "visits")
-        # blocks per list, one number a list
-        blocks = lambda df, size, name: df.groupBy("list").count().select("list", F.ceil(F.col("count") / size).cast("int").alias(name))
-        known = [tuple(r) for r in blocks(indexed, block_rows, "nr").join(blocks(visits, block_queries, "nq"), "list").collect()]
-        parts = lambda: F.broadcast(spark.createDataFrame(known, "list int, nr int, nq int"))
-        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        block = lambda name, n: F.pmod(F.xxhash64(name, "raw"), F.col(n)).cast("int")
-        keys = ["list", "rb", "qb"]
-        left = indexed.join(parts(), "list").withColumn("rb", block("vec_id", "nr")).withColumn("qb", spread("nq")).select(*keys, "vec_id", "code", "raw")
-        right = visits.join(parts(), "list").withColumn("qb", block("query_id", "nq")).withColumn("rb", spread("nr")).select(*keys, "query_id", "raw")
+    asked = stored(asked.dropDuplicates(["vec_id", "v"]).mapInArrow(place, "query_id long, raw binary, first binary"), "asked")
+    # a row of each shelf is in one of nr blocks
+    size = spark.createDataFrame([(i, int(s)) for i, s in enumerate(shelf)], "list int, shelf int")
+    blocks = lambda c, s: np.maximum(1, -(-c // s)).tolist()
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda name, n: F.pmod(F.xxhash64(name, "raw"), F.col(n)).cast("int")
+    keys = ["shelf", "rb", "qb"]
+
+    def find(asked: DataFrame, name: str) -> DataFrame:
+        visits = stored(asked.mapInArrow(visit, "shelf int, query_id long, reach double, raw binary"), f"visits_{name}")
+        asking = np.zeros(len(held), dtype=np.int64)
+        for r in visits.groupBy("shelf").count().collect():
+            asking[r["shelf"]] = r["count"]
+        known = [(i, r, c) for i, (r, c) in enumerate(zip(blocks(held, block_rows), blocks(asking, block_queries))) if asking[i]]
+        parts = lambda: F.broadcast(spark.createDataFrame(known, "shelf int, nr int, nq int"))
+        left = indexed.join(F.broadcast(size), "list").join(parts(), "shelf").withColumn("rb", block("vec_id", "nr")).withColumn("qb", spread("nq")).select(*keys, "list", "vec_id", "code", "raw")
+        right = visits.join(parts(), "shelf").withColumn("qb", block("query_id", "nq")).withColumn("rb", spread("nr")).select(*keys, "query_id", "reach", "raw")
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, FOUND)
         # an id may stand in several blocks, and a query for several vectors
-        return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "found")
-
-    found = find(asked, probes)
-    if probes < lists:
-        full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-        short = stored(asked.join(full, "vec_id", "left_anti"), "short")
-        if not short.isEmpty():
-            found = found.unionByName(find(short, lists)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return stored(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), f"found_{name}")
+
+    found = find(asked.withColumn("reach", F.lit(None).cast("double")), "first")
+    if int(np.count_nonzero(held)) > 1:
+        kth = F.get(F.sort_array(F.collect_list("score"), False), k - 1)
+        reach = found.groupBy("query_id").agg(F.sqrt(F.greatest(2 - 2 * kth, F.lit(0.0))).alias("reach"))
+        further = asked.join(reach, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        found = found.unionByName(find(further, "further")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found
 
 
